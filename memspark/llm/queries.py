@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import leakage, mixing, splitting, visual
+from memspark.llm import leakage, mixing, personal, splitting, visual
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,6 +22,26 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(rows, "content").selectExpr("ord", "id", "section_path", "cast(piece_no as bigint) piece_no", "cast(n_pieces as bigint) n_pieces", "cast(at as bigint) at", "piece")
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "gold_nodes").where("type = 'Person'").select("name")
+    entities = table(spark, d, "silver_entities").where("type = 'Person'")
+    people = people.unionByName(entities.select("name")).unionByName(entities.select(F.explode("aliases").alias("name")))
+    forms = table(spark, d, "given_name_forms")
+    given = forms.select(F.explode(F.array("given_name", "short_form")).alias("n")).where("n is not null").select(F.pandas_udf(lambda n: n.map(personal.name_part), "string")("n").alias("part"))
+    rows = table(spark, d, "bronze_documents").selectExpr("'bronze' src", "cast(ord as string) row_key", "content")
+    rows = rows.unionByName(table(spark, d, "personal_memories").selectExpr("'memory' src", "id row_key", "content"))
+    return personal.find_personal(rows, "content", personal.gazetteer(people, "name"), given)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _personal(spark, d).select("src", "row_key", F.explode("found").alias("f"))
+    return found.select("src", "row_key", "f.kind", F.regexp_replace(F.lower("f.value"), r"[^\p{L}\p{Nd}]", "").alias("value_key")).distinct()
+
+
+def p6_masked(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).selectExpr("src", "row_key", "masked content", "coalesce(size(found), 0) n_found")
+
+
 def _places(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -61,7 +81,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return visual.canonical_text(table(spark, d, "documents"), "doc_id", "text").selectExpr("key doc_id", "canonical text", "sha2(canonical, 256) <> raw changed")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p7_found, p7_items, p7_clean, p8_selection, p8_shares, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_masked, p7_found, p7_items, p7_clean, p8_selection, p8_shares, p9_found, p9_canonical)}
 
 ORACLE = {
     "p5_found": r"""with u as (select ord, regexp_replace(content, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') as whole, string_split_regex(content, '\n[\s\p{Z}\x{85}]*\n') as parts from bronze_documents where content is not null),
