@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import leakage, mixing, personal, splitting, visual
+from memspark.llm import leakage, mixing, names, personal, splitting, visual
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _name_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kinds = "type in ('Person', 'Project')"
+    aliases = table(spark, d, "silver_entities").where(kinds).select("type", "name", F.explode("aliases").alias("alias"))
+    return table(spark, d, "gold_nodes").where(kinds).select("id", "type", "name"), aliases, table(spark, d, "given_name_forms")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(*_name_tables(spark, d)).selectExpr("a node_a", "b node_b")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_variants(*_name_tables(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     units = splitting.units(table(spark, d, "bronze_documents"), "ord", "content")
     return splitting.split_oversized(units, "unit").where("piece_no = 1").selectExpr("ord", "cast(block_no as bigint) block_no")
@@ -81,7 +95,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return visual.canonical_text(table(spark, d, "documents"), "doc_id", "text").selectExpr("key doc_id", "canonical text", "sha2(canonical, 256) <> raw changed")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_masked, p7_found, p7_items, p7_clean, p8_selection, p8_shares, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_pieces, p6_found, p6_masked, p7_found, p7_items, p7_clean, p8_selection, p8_shares, p9_found, p9_canonical)}
 
 ORACLE = {
     "p5_found": r"""with u as (select ord, regexp_replace(content, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') as whole, string_split_regex(content, '\n[\s\p{Z}\x{85}]*\n') as parts from bronze_documents where content is not null),
