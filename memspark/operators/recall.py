@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import WS, fold
+from memspark.operators.work import broadcast_if_small
 
 # Fixed value: where sentences end, for the snippet.
 SENTENCE_END = r"(?U)(?<=[.!?。다])\s+|\n+"
@@ -37,7 +38,7 @@ def rule_answers(questions: DataFrame, key: str, text: str, rules: DataFrame) ->
     data; a rule without terms never matches."""
     squash = lambda c: F.regexp_replace(fold(c), WS, "")
     hit = F.forall("terms", lambda t: F.contains(squash(F.col(text)), squash(t))) & (F.size("terms") > 0)
-    return questions.select(key, text).join(F.broadcast(rules.limit(100_000)), hit).groupBy(key).agg(F.min_by(F.struct("rule_ord", "answer"), "rule_ord").alias("r")).select(key, "r.*")
+    return questions.select(key, text).join(broadcast_if_small(rules), hit).groupBy(key).agg(F.min_by(F.struct("rule_ord", "answer"), "rule_ord").alias("r")).select(key, "r.*")
 
 
 def pack_context(items: DataFrame, group: str, budget: int, order: str = "ord") -> DataFrame:
@@ -69,8 +70,6 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Dat
 
 def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """query, key, similarity: exact cosine top-k of a stated, small query set against all rows. Queries are broadcast while few."""
-    from memspark.operators.work import broadcast_if_small
-
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("nv", norm(F.col("v")))
