@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Notations.
 _AT = r"(?: @ |@|\s?[(\[{]\s?(?:at|AT|@)\s?[)\]}]\s?)"
@@ -51,6 +52,9 @@ _before = re.compile(r"(?:(?<=[^\w.])|^)(?:[^\W\d_a-z]\.[^\S\n]?){1,2}$")
 TITLES = frozenset("dr mr mrs ms prof frau herr mme mlle madame monsieur sir miss dame".split())
 
 
+FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("value", T.StringType())]))
+
+
 def name_part(token: str) -> str:
     """A part of a name as the gazetteer holds it: case-folded, without accents."""
     return "".join(c for c in unicodedata.normalize("NFD", token.casefold()) if not unicodedata.combining(c))
@@ -212,7 +216,7 @@ def find_personal(df: DataFrame, text: str, parts: DataFrame, given: DataFrame,
     first = [r["part"] for r in given.select("part").distinct().limit(most_parts).collect()]
     shared = spark.sparkContext.broadcast((frozenset(known) | frozenset(first), frozenset(first)))
     rest = [c for c in df.columns if c not in (text, "found", "masked")]
-    schema = df.select(*rest, F.col(text).alias("masked")).schema.add("found", "array<struct<kind:string,`from`:int,`to`:int,value:string>>")
+    schema = df.select(*rest, F.col(text).alias("masked")).schema.add("found", FOUND)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, first = shared.value
