@@ -96,14 +96,20 @@ class _Items:
 
 def _align(item: list[str], window: list[str]) -> tuple[float, int, int, int, int, int]:
     """Best local alignment: score, matched words, first and last item word, first and last window word."""
-    known: dict[tuple[str, str], bool] = {}
-    own = set(item)
+    places: dict[str, set[int]] = {}
+    ends: dict[str, set[str]] = {}
+    for i, x in enumerate(item):
+        places.setdefault(x, set()).add(i)
+        if len(x) > 3:  # a word with one error keeps its first two letters or its last two
+            ends.setdefault("<" + x[:2], set()).add(x)
+            ends.setdefault(">" + x[-2:], set()).add(x)
     spots: dict[str, set[int]] = {}
     for y in set(window):
-        if y in own:
-            spots[y] = {i for i, x in enumerate(item) if x == y}
+        if y in places:
+            spots[y] = places[y]
         else:
-            spots[y] = {i for i, x in enumerate(item) if known.setdefault((x, y), abs(len(x) - len(y)) < 3 and _near(x, y))}
+            like = ends.get("<" + y[:2], set()) | ends.get(">" + y[-2:], set()) if len(y) > 2 else ()
+            spots[y] = {i for x in like if abs(len(x) - len(y)) < 3 and _near(x, y) for i in places[x]}
     zero = (0.0, 0, -1, -1, -1, -1)
     best, prev = zero, [zero] * (len(item) + 1)
     for j, y in enumerate(window):
