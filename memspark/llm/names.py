@@ -1,9 +1,10 @@
 """Variant spellings of names of people and projects: blocks of phonetic codes of sorted tokens, comparison by Jaro-Winkler with
 a nickname table, clusters by connected components.
 
-Names are reduced to distinct token forms first, so copies cost nothing. A form's blocking keys are the consonant codes of its
-distinctive tokens and their one-deletion neighbours (two codes one edit apart share one), and the code of its letters run together. Tokens that
-stand beside many others (given names, words like a product category) are no keys. Full matches are clustered first; forms that fit several
+Names are reduced to distinct token forms first, so copies cost nothing. A form's blocking keys are consonant codes and their one-deletion
+neighbours (two codes one edit apart share one), each with what the rest of the name has in common in every spelling that compares as alike: of a
+surname with a letter of the given name, of a project's token with the initials of the others, and the code of the letters run together. So
+each pair that compares as alike shares a key, however common its tokens are. Full matches are clustered first; forms that fit several
 people (initials, short forms of several names) join a cluster only if it is the only one that fits, or the one that their aliases name.
 """
 
@@ -25,7 +26,6 @@ TITLES = {"dr", "mr", "mrs", "ms", "prof", "frau", "herr", "mme", "mlle", "sir"}
 FRAME = {"project", "projekt", "projet", "the", "team", "and", "und", "et", "of", "equipe"}
 OCR = str.maketrans("01358", "olesb")
 SOUND = str.maketrans({"b": "p", "v": "f", "w": "f", "d": "t", "g": "k", "q": "k", "c": "k", "z": "s", "x": "s"})
-COMMON = 12  # a token beside at least so many others is no key
 
 
 def fold(s: str) -> str:
@@ -58,7 +58,7 @@ def code(token: str) -> str:
 
 
 def near_codes(c: str) -> set[str]:
-    return {c, *(c[:i] + c[i + 1 :] for i in range(len(c)))} if len(c) > 2 else {c}
+    return {c, *(c[:i] + c[i + 1 :] for i in range(len(c)))}
 
 
 def edits(a: str, b: str, most: int = 2) -> int:
@@ -214,18 +214,35 @@ def compare_projects(a: list[str], b: list[str]) -> int:
     return 1 if unsure else 2
 
 
-def _keys(t: list[str], kind: str, common: set[str], nick: Nicknames) -> list[str]:
-    out = {"=" + code("".join(t))}
-    single = len(t) == 1
-    if kind == "Person" and not single:
+def _codes(part: str) -> set[str]:
+    """The codes that a part shares with each part at most one typing error away; parts under four letters allow none."""
+    return near_codes(code(part)) if len(part) > 3 else {code(part)}
+
+
+def _given_marks(g: str, nick: Nicknames) -> set[str]:
+    """Marks of which two given names that ``Nicknames.compare`` takes share one: first letters, or endings where the first letter differs."""
+    every = {g, *nick.roots.get(g, ())}
+    return {x[0] for x in every} | {"$" + x[-2:] for x in every if len(x) > 2}
+
+
+def _keys(t: list[str], kind: str, nick: Nicknames, widest: int) -> list[tuple[str, str]]:
+    """(key, part that the key is of): forms that compare as alike share a key whose parts are at most one typing error or "ue" apart.
+
+    ``widest`` is the largest number of tokens of a form; a longer token stands for no initials."""
+    whole = "".join(t)
+    if kind == "Person":
+        out = {("1", c, whole) for c in _codes(whole)} if len(t) == 1 else set()
         for g, s in readings(t, nick):
-            out |= {"=" + code(g[0] + s), "=" + code(s + g), "=" + code(s + g[0])}
-    if single:
-        out |= {"=" + c for c in near_codes(code(t[0]))}
-    keys = [t[0]] if single else [x for x in t if len(x) > 3 and x not in common and x not in nick.known]
-    for x in keys:
-        out |= {"~" + c for c in near_codes(code(x))}
-    return sorted(out)
+            out |= {("=", c, x) for x in (g + s, s + g, g[0] + s, s + g[0]) for c in _codes(x)}
+            if len(s) > 1:
+                out |= {(m + "~", c, s) for m in _given_marks(g, nick) for c in _codes(s)}
+        return sorted((m + c, x) for m, c, x in out)
+    found = {("=" + c, whole) for c in _codes(whole)}
+    for i, x in enumerate(t if len(t) > 1 else []):
+        rest = t[:i] + t[i + 1 :]
+        lists = [[y[0] for y in rest]] + [[*y, *(z[0] for z in rest[:j] + rest[j + 1 :])] for j, y in enumerate(rest) if 1 < len(y) < widest]
+        found |= {("".join(sorted(m)) + "~" + c, x) for m in lists for c in _codes(x)}
+    return sorted(found)
 
 
 def link_variants(nodes: DataFrame, aliases: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -244,16 +261,20 @@ def link_variants(nodes: DataFrame, aliases: DataFrame, nicknames: DataFrame) ->
 
     form = F.pandas_udf(forms, "string")
     distinct = work.cut(nodes.select("type", form("name", "type").alias("form")).where("form <> ''").distinct(), "forms")
-    words = distinct.select("type", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("w")).where("length(w) > 1")
-    common = [(r["type"], r["w"]) for r in words.groupBy("type", "w").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).collect()]
-    shared = spark.sparkContext.broadcast({k: {w for t, w in common if t == k} for k in {t for t, _ in common}})
+    widest = distinct.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 0
 
     def keys(fs: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([_keys(f.split(" "), k, shared.value.get(k, set()), nick.value) for f, k in zip(fs, kinds, strict=True)])
-
-    keyed = work.cut(distinct.select("type", "form", F.explode(F.pandas_udf(keys, "array<string>")("form", "type")).alias("key")), "keys")
-    left, right = keyed.withColumnRenamed("form", "a"), keyed.withColumnRenamed("form", "b")
-    pairs = left.join(right, ["type", "key"]).where("a < b").select("type", "a", "b").distinct()
+        return pd.Series([[{"key": c, "part": x} for c, x in _keys(f.split(" "), k, nick.value, widest)] for f, k in zip(fs, kinds, strict=True)])
+
+    keyed = distinct.select("type", "form", F.explode(F.pandas_udf(keys, "array<struct<key string, part string>>")("form", "type")).alias("k"))
+    keyed = work.cut(keyed.select("type", "form", F.col("k.key").alias("key"), F.col("k.part").alias("part")), "keys")
+    # parts further apart than any that compare as alike go before forms meet in Python; a single token meets whole names under their keys
+    left, right = keyed.selectExpr("type", "key", "form a", "part pa"), keyed.selectExpr("type", "key", "form b", "part pb")
+    near = F.levenshtein("pa", "pb", 2) >= 0
+    pairs = left.where("type <> 'Person' or key not like '=%'").join(right, ["type", "key"]).where("a < b").where(near).select("type", "a", "b")
+    single = left.where("type = 'Person' and key like '1%'").withColumn("key", F.regexp_replace("key", "^1", "="))
+    met = single.join(right.where("type = 'Person' and key like '=%'"), ["type", "key"]).where(near).selectExpr("type", "least(a, b) a", "greatest(a, b) b")
+    pairs = pairs.unionByName(met).distinct()
 
     def levels(kinds: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
         n = nick.value
