@@ -1,9 +1,10 @@
-"""Sources mixed to target weights by Sainte-Lague apportionment of equal-token blocks.
+"""Sources mixed to target weights by Sainte-Lague apportionment of tokens.
 
-Seats (blocks) go to the highest quotients weight / (2 seats + 1): first to sources by target share, then within each source to its
+Seats (tokens) go to the highest quotients weight / (2 seats + 1): first to sources by target share, then within each source to its
 shards by their tokens, both under the caps that the allowed repeats set. Each shard then takes documents in seeded order, round
 and round, up to its quota. Apportionment sees one row for each source and shard, their number fixed by a parameter; documents are
-ordered within shards only, so a source with most of all rows is spread like any other.
+ordered within shards only, so a source with most of all rows is spread like any other. A small source has fewer shards, down to one, as
+each shard rounds to whole documents.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: Data
 
     ``targets`` has source, target_share, max_repeats, one row for each source (of repeated ones the first by share), null shares none;
     sources are compared trimmed and lower-cased. The mix is the largest at which each listed source that has tokens reaches its share with no
-    document used more than max_repeats times; a listed source without tokens has actual share 0 and the others keep their proportions.
+    document used more than max_repeats times; a source has one of its at most ``shards`` shards for each ``shards`` blocks of tokens. A listed source without tokens has actual share 0 and the others keep their proportions.
     Documents of unlisted or null sources, or with null or empty text, are not selected.
     """
     work = Work(docs.sparkSession, "mix")
@@ -94,28 +95,31 @@ def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: Data
         sizes.setdefault(r["source"], {})[r["shard"]] = (r["n"], r["t"])
     wanted = {r["source"]: (r["target_share"], r["max_repeats"] or 0) for r in aims.collect()}
     live = sorted(s for s in sizes if wanted[s][1] > 0)
-    cap = {s: {p: wanted[s][1] * t // block for p, (_, t) in sizes[s].items()} for s in live}
-    live = [s for s in live if sum(cap[s].values()) > 0]
+    tokens = {s: sum(t for _, t in sizes[s].values()) for s in live}
+    top = {s: wanted[s][1] * tokens[s] for s in live}
     whole = sum(wanted[s][0] for s in live)
-    seats = int(min((sum(cap[s].values()) * whole / wanted[s][0] for s in live), default=0))
-    quota = dict(zip(live, sainte_lague([wanted[s][0] for s in live], seats, [sum(cap[s].values()) for s in live]), strict=True))
+    size = int(min((top[s] * whole / wanted[s][0] for s in live), default=0))
+    quota = dict(zip(live, sainte_lague([wanted[s][0] for s in live], size, [top[s] for s in live]), strict=True))
     plan = []
     for s in live:
-        at = sorted(sizes[s])
-        for p, q in zip(at, sainte_lague([float(sizes[s][p][1]) for p in at], quota[s], [cap[s][p] for p in at]), strict=True):
-            plan.append((s, p, sizes[s][p][1], q * block))
+        parts = max(1, min(shards, tokens[s] // (block * shards)))
+        total: dict[int, int] = {}
+        for p, (_, t) in sorted(sizes[s].items()):
+            total[p % parts] = total.get(p % parts, 0) + t
+        share = dict(zip(total, sainte_lague([float(t) for t in total.values()], quota[s], [wanted[s][1] * t for t in total.values()]), strict=True))
+        plan += [(s, p, p % parts, total[p % parts], share[p % parts]) for p in sizes[s]]
     spark = docs.sparkSession
-    plan = spark.createDataFrame(plan, T.StructType([T.StructField("source", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("total", T.LongType()), T.StructField("quota", T.LongType())]))
+    plan = spark.createDataFrame(plan, T.StructType([T.StructField("source", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("part", T.LongType()), T.StructField("total", T.LongType()), T.StructField("quota", T.LongType())]))
 
-    # a document at m tokens of its shard (its middle) is used once for each whole k with k * total + m < quota
-    order = Window.partitionBy("source", "shard").orderBy("h", "key")
-    placed = rows.withColumn("m", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens") / 2).join(F.broadcast(plan), ["source", "shard"])
+    # a document at m tokens of its part (its middle) is used once for each whole k with k * total + m < quota
+    order = Window.partitionBy("source", "part").orderBy("h", "key")
+    placed = rows.join(F.broadcast(plan), ["source", "shard"]).withColumn("m", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens") / 2)
     used = placed.withColumn("repeats", F.ceil((F.col("quota") - F.col("m")) / F.col("total")).cast("long")).where("repeats > 0")
     selection = work.cut(used.select("key", "source", "n_tokens", "repeats"), "selection")
 
     mixed = selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"))
     all_tokens = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
-    quotas = plan.groupBy("source").agg(F.sum("quota").alias("quota_tokens"))
+    quotas = plan.select("source", "part", "quota").distinct().groupBy("source").agg(F.sum("quota").alias("quota_tokens"))
     shares = aims.join(all_tokens, "source", "left").join(quotas, "source", "left").join(mixed, "source", "left").fillna(0, ["n_docs", "tokens", "quota_tokens", "mixed_tokens"])
     total = F.sum("mixed_tokens").over(Window.partitionBy())  # one row for each listed source
     return selection, shares.withColumn("actual_share", F.when(total > 0, F.col("mixed_tokens") / total).otherwise(0.0))

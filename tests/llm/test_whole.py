@@ -2,7 +2,9 @@
 
 import random
 
-from memspark.llm import names
+from pyspark.sql import functions as F
+
+from memspark.llm import mixing, names
 
 
 def test_names_with_common_tokens(spark):
@@ -42,3 +44,14 @@ def test_keys_miss_no_alike_pair():
                     swap = lambda ks, other: {("=" + k[1:] if len(other) > 1 and k[0] == "1" and "~" not in k else k, x) for k, x in ks}
                     ka, kb = (swap(keyed[i], b), swap(keyed[j], a)) if kind == "Person" else (keyed[i], keyed[j])
                     assert any(k == m and names.edits(x, y, 3) <= 2 for k, x in ka for m, y in kb), (a, b)
+
+
+def test_mix_with_small_source(spark):
+    rows = [(i, f"word{i} " * 50, "large") for i in range(1500)] + [(5000 + i, f"some few words {i}", "small") for i in range(20)] + [(6000 + i, f"some more words {i}", "middle") for i in range(60)]
+    docs = spark.createDataFrame(rows, "k int, t string, source string")
+    targets = spark.createDataFrame([("large", 0.9, 4), ("small", 0.05, 2), ("middle", 0.05, 2)], "source string, target_share double, max_repeats int")
+    selection, shares = mixing.mix_sources(docs, "k", "t", "source", targets)
+    s = {r["source"]: r for r in shares.collect()}
+    assert s["small"]["tokens"] < 64 * 256 and s["small"]["mixed_tokens"] == s["small"]["quota_tokens"] == 2 * s["small"]["tokens"]
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.08 for r in s.values()) and all(r["mixed_tokens"] > 0 for r in s.values())
+    assert selection.where("source <> 'large'").agg(F.max("repeats")).first()[0] == 2
