@@ -53,7 +53,7 @@ def _plain_map() -> dict[int, str | None]:
 
 _plain = _plain_map()
 _twins = str.maketrans(_twin)
-_odd = re.compile("[" + "".join(_twin) + "]")
+_other = re.compile("[\u0370-\u058f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f\ufb13-\ufb17]")  # letters of scripts with twins of Latin ones
 _token = re.compile(r"[^\W_](?:[^\W_]|[̀-ͯ])*")
 
 
@@ -91,6 +91,12 @@ def _letters(token: str) -> list[tuple[str, str, bool]]:
 
 
 _latin_twins = set(_twin.values())
+TWIN_SCRIPTS = {"LATIN", "CYRILLIC", "GREEK", "ARMENIAN"}
+
+
+def _mixed(letters: list[tuple[str, str, bool]]) -> bool:
+    """Whether scripts with twins mix; those without (Hangul, kanji) stand beside any."""
+    return len(TWIN_SCRIPTS & {s for _, s, _ in letters}) > 1
 
 
 def _context(text: str) -> str:
@@ -113,12 +119,12 @@ def _to_script(skel: str, script: str) -> str:
 
 
 def examine(text: str) -> tuple[str, list[tuple[str, str, bool]]]:
-    """The base form with wholly ambiguous tokens in the script of their document, and the distinct tokens with look-alike letters that are left:
-    (form, skeleton, all in one script)."""
+    """The base form with wholly ambiguous tokens in the script of their document, and the distinct tokens that are left with look-alike letters, or
+    with Latin ones among letters of another script that has twins: (form, skeleton, all in one script)."""
     base = base_form(text)
     d = unicodedata.normalize("NFD", base) if not base.isascii() else base
     context = _context(skeleton(base)) if not base.isascii() else "LATIN"
-    if context == "LATIN" and not _odd.search(d):
+    if context == "LATIN" and not _other.search(d):
         return base, []
     odd: dict[str, tuple[str, str, bool]] = {}
 
@@ -127,8 +133,8 @@ def examine(text: str) -> tuple[str, list[tuple[str, str, bool]]]:
         letters = _letters(t)
         if letters and all(two for _, _, two in letters):
             return _to_script(skeleton(t), context)
-        if any(c in _twin for c, _, _ in letters):
-            odd[t] = (t, skeleton(t), len({s for _, s, _ in letters}) == 1)
+        if any(c in _twin for c, _, _ in letters) or _mixed(letters) and any(two for _, _, two in letters):
+            odd[t] = (t, skeleton(t), not _mixed(letters))
         return t
 
     return _token.sub(see, base), list(odd.values())
@@ -161,10 +167,11 @@ def canonical_text(df: DataFrame, key: str, text: str) -> DataFrame:
     seen = work.cut(seen.select("row", "key", F.sha2("text", 256).alias("raw"), F.pandas_udf(_examined, EXAMINED)("text").alias("x")).select("row", "key", "raw", "x.*"), "seen")
     odd = seen.where("size(odd) > 0").select("row", F.explode("odd").alias("o")).select("row", "o.*")
     forms = odd.groupBy("skel", "form", "pure").agg(F.count("*").alias("n"))
-    # Latin forms of those classes, from the whole vocabulary
+    # Latin forms of those classes, from the whole vocabulary; those in one script are in no repair, so they stand for their class
     words = seen.select(F.explode(F.array_distinct(F.split("base", r"(?U)[^\p{L}\p{M}\p{N}]+"))).alias("skel")).groupBy("skel").agg(F.count("*").alias("n"))
-    latin = words.join(forms.select("skel").distinct(), "skel").selectExpr("skel", "skel form", "true pure", "n")
-    classes = forms.unionByName(latin).groupBy("skel").agg(F.max_by("form", F.struct("pure", "n", "form")).alias("to"))
+    one_script = F.pandas_udf(lambda ws: ws.map(lambda w: not _mixed(_letters(w))), "boolean")
+    latin = words.join(forms.select("skel").distinct(), "skel").where(one_script("skel")).selectExpr("skel", "skel form", "true pure", "n", "true fixed")
+    classes = forms.withColumn("fixed", F.lit(False)).unionByName(latin).groupBy("skel").agg(F.max_by("form", F.struct("fixed", "pure", "n", "form")).alias("to"))
     changes = forms.join(classes, "skel").where("form <> to").select("form", "to")
     per_row = odd.select("row", "form").join(changes, "form").groupBy("row").agg(F.collect_list(F.struct("form", "to")).alias("repairs"))
     per_row = work.cut(per_row, "repairs")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from memspark.llm import mixing, names
+from memspark.llm import mixing, names, visual
 
 
 def test_names_with_common_tokens(spark):
@@ -55,3 +55,11 @@ def test_mix_with_small_source(spark):
     assert s["small"]["tokens"] < 64 * 256 and s["small"]["mixed_tokens"] == s["small"]["quota_tokens"] == 2 * s["small"]["tokens"]
     assert all(abs(r["actual_share"] - r["target_share"]) < 0.08 for r in s.values()) and all(r["mixed_tokens"] > 0 for r in s.values())
     assert selection.where("source <> 'large'").agg(F.max("repeats")).first()[0] == 2
+
+
+def test_visual_with_all_twins_replaced(spark):
+    rows = [(1, "он дал раму"), (2, "он дaл раму"), (3, "он дал раму сам"), (4, "a long note on д\u0430л"), (5, "a long note on д\u0061л"), (6, "API를"), (7, "\u0410\u0420I를"), (8, "\u0410\u0420\u0406를"), (9, "\u0410\u0420\u0406를 x"), (10, "API를 x")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {tuple(r) for r in visual.look_alike_pairs(df, "k", "t").collect()}
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and s != t and visual.skeleton(s) == visual.skeleton(t)}
+    assert got == want == {(1, 2), (4, 5), (6, 7), (6, 8), (7, 8), (9, 10)}
