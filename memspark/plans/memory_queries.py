@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import fold, strip_ws
@@ -104,6 +104,16 @@ def connector_diff(spark, d):
     return snapshot_diff(side(1), side(2), ["corpus_id", "connector", "source_id"], ["content_hash"])
 
 
+def connector_diff_all(spark, d):
+    """As connector_diff, over each two consecutive delivered snapshots of a connector; snapshot_no is the later one's, the first has no row."""
+    rows = bronze.latest_by(table(spark, d, "connector_snapshots").select("corpus_id", "connector", "snapshot_no", strip_ws("source_id").alias("source_id"), "loaded_at", "content_hash"), ["corpus_id", "connector", "snapshot_no", "source_id"], ["loaded_at", "content_hash"])
+    order = Window.partitionBy("corpus_id", "connector").orderBy("snapshot_no")
+    pairs = rows.select("corpus_id", "connector", "snapshot_no").distinct().select("*", F.lag("snapshot_no").over(order).alias("before")).where("before is not null")
+    old = rows.withColumnRenamed("snapshot_no", "before").join(pairs, ["corpus_id", "connector", "before"]).drop("before")
+    new = rows.join(pairs.drop("before"), ["corpus_id", "connector", "snapshot_no"])
+    return snapshot_diff(old, new, ["corpus_id", "connector", "snapshot_no", "source_id"], ["content_hash"])
+
+
 def node_upsert(spark, d):
     return graph.upsert_nodes(table(spark, d, "silver_entities")).select("id", "type", "canonical_name", "name", "mentions", F.array_join("source_ids", ",").alias("source_ids"))
 
@@ -306,6 +316,15 @@ o as (select * from r qualify row_number() over (partition by corpus_id, connect
 a as (select * from o where snapshot_no = 1), b as (select * from o where snapshot_no = 2)
 select coalesce(a.corpus_id, b.corpus_id) as corpus_id, coalesce(a.connector, b.connector) as connector, coalesce(a.source_id, b.source_id) as source_id,
   case when a.source_id is null then 'added' when b.source_id is null then 'removed' else 'changed' end as change from a full join b on a.corpus_id = b.corpus_id and a.connector = b.connector and a.source_id = b.source_id
+where a.source_id is null or b.source_id is null or a.content_hash is distinct from b.content_hash""",
+    "connector_diff_all": r"""with r as (select corpus_id, connector, snapshot_no, regexp_replace(source_id, '^\s+|\s+$', '', 'g') as source_id, content_hash, loaded_at from connector_snapshots),
+o as (select * from r qualify row_number() over (partition by corpus_id, connector, snapshot_no, source_id order by loaded_at desc, content_hash desc nulls last) = 1),
+s as (select corpus_id, connector, snapshot_no, lag(snapshot_no) over (partition by corpus_id, connector order by snapshot_no) as before from (select distinct corpus_id, connector, snapshot_no from o)),
+a as (select o.corpus_id, o.connector, s.snapshot_no, source_id, content_hash from o join s on s.corpus_id = o.corpus_id and s.connector = o.connector and s.before = o.snapshot_no),
+b as (select o.* from o join s using (corpus_id, connector, snapshot_no) where s.before is not null)
+select coalesce(a.corpus_id, b.corpus_id) as corpus_id, coalesce(a.connector, b.connector) as connector, coalesce(a.snapshot_no, b.snapshot_no) as snapshot_no, coalesce(a.source_id, b.source_id) as source_id,
+  case when a.source_id is null then 'added' when b.source_id is null then 'removed' else 'changed' end as change
+from a full join b on a.corpus_id = b.corpus_id and a.connector = b.connector and a.snapshot_no = b.snapshot_no and a.source_id = b.source_id
 where a.source_id is null or b.source_id is null or a.content_hash is distinct from b.content_hash""",
     "node_upsert": f"with {_NODES} select 'node_' || left(sha256(n.type || '|' || n.c), 16) as id, n.type, n.c as canonical_name, n.name, mentions, coalesce(source_ids, '') as source_ids from n join ns on n.type = ns.type and n.c = ns.c",
     "edge_upsert": f"with {_EDGES} select * from up",
