@@ -58,7 +58,7 @@ class Store:
 
 
 class Corpus:
-    """The public API over one corpus: ingest, query, retrieve, decisions, why, timeline, diff, graph, mql, write_decision, write_note."""
+    """The public API over one corpus: ingest, query, decisions, diff, graph, mql, write_decision, write_note."""
 
     def __init__(self, spark: SparkSession, root: str, corpus_id: str = "corpus_main"):
         self.spark, self.store, self.corpus_id = spark, Store(spark, root), corpus_id
