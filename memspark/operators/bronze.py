@@ -1,15 +1,12 @@
-"""Raw chunks: identity, insert without repeats, hard windows, Markdown sections, active view and source diff."""
+"""Raw chunks: identity, insert without repeats, active view, stale rows and rows by their sources."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.functions.text import strip_ws
 from memspark.ids import bronze_id, content_hash
 
-LIMIT, OVERLAP = 1800, 120
-
 
 def with_identity(docs: DataFrame, content: str = "content") -> DataFrame:
     return docs.withColumns({"id": bronze_id(F.col(content)), "content_hash": content_hash(F.col(content))})
@@ -27,60 +24,56 @@ def put(stored: DataFrame, incoming: DataFrame, order: str = "ord") -> DataFrame
     return first_by_hash(incoming, order).join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-def hard_windows(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """Windows of ``limit`` characters every ``limit - overlap``, stripped, empty ones dropped; the last reaches the end."""
-    step = limit - overlap
-    n = F.greatest(F.ceil((F.length(text) - limit) / step).cast("int"), F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0), n), lambda i: strip_ws(F.substring(text, i * step + 1, F.lit(limit))))
-    return F.filter(windows, lambda w: w != "")
+def is_active(metadata: Column) -> Column:
+    """Active unless the metadata say that it is not; absent, null or unreadable metadata count as active."""
+    return F.coalesce(F.get_json_object(metadata, "$.active") != "false", F.lit(True))
 
 
-def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, section_no, level, title, path, body for Markdown texts with at least two headings of the first two levels: one row for each such heading,
-    its body up to the next. Other texts give one row, no title. The path holds the titles of the first and the section's own level. Null texts give none."""
-    lines = F.split(F.col(text), r"\r?\n")
-    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,2})\s+\S", 1))
-    heads = F.size(F.filter(lines, lambda x: level(x) > 0))
-    step = lambda a, x: F.when(
-        level(x) > 0,
-        F.concat(a, F.array(F.struct(level(x).alias("level"), F.trim(F.regexp_replace(x, r"^#{1,2}\s+", "")).alias("title"), F.when(level(x) == 1, F.lit(None).cast("string")).otherwise(_top(a)).alias("top"), x.alias("body")))),
-    ).otherwise(F.when(F.size(a) == 0, a).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(_longer(F.element_at(a, -1), x)))))
-    none = F.array().cast("array<struct<level:int,title:string,top:string,body:string>>")
-    whole = F.array(F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("top"), F.col(text).alias("body")))
-    parts = F.when(heads >= 2, F.aggregate(lines, none, step)).otherwise(whole)
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("i", "s"))
-    return rows.select(key, (F.col("i") + 1).alias("section_no"), "s.level", "s.title", F.concat_ws(" > ", "s.top", "s.title").alias("path"), strip_ws("s.body").alias("body"))
+def stale_ids(stored: DataFrame, roots: DataFrame, fresh: DataFrame) -> DataFrame:
+    """id, root_source_id of the stored rows of an incoming root whose content did not come again. Roots and hashes are distinct, and the roots are spread over salts, so that a
+    root with a third of all rows is many tasks' work."""
+    hit = roots.select("root_source_id").where("root_source_id is not null").distinct()
+    same = fresh.select("content_hash").where("content_hash is not null").distinct()
+    of_roots = spread_semi(stored.select("id", "root_source_id", "content_hash"), hit, "root_source_id", "id")
+    return of_roots.join(same, "content_hash", "left_anti").select("id", "root_source_id").distinct()
 
 
-def _top(a: Column) -> Column:
-    last = F.get(a, F.size(a) - 1)
-    return F.when(F.size(a) == 0, F.lit(None)).when(last["level"] == 1, last["title"]).otherwise(last["top"])
+def mark_stale(stored: DataFrame, roots: DataFrame, fresh: DataFrame, key: str = "ord") -> DataFrame:
+    """The stored rows with ``active``: false for rows of an incoming root whose content did not come again, which also get ``superseded_at``, now. ``key`` is unique."""
+    gone = stale_ids(stored.withColumn("id", F.col(key)), roots, fresh).select(F.col("id").alias(key)).withColumn("_gone", F.lit(True))
+    out = stored.join(gone, key, "left")
+    was = F.col("superseded_at") if "superseded_at" in stored.columns else F.lit(None).cast("timestamp")
+    return out.withColumn("superseded_at", F.when(F.col("_gone") & F.col("active"), F.current_timestamp()).otherwise(was)).withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
 
 
-def _longer(s: Column, line: Column) -> Column:
-    return F.struct(s["level"].alias("level"), s["title"].alias("title"), s["top"].alias("top"), F.concat(s["body"], F.lit("\n"), line).alias("body"))
+def spread_semi(rows: DataFrame, keys: DataFrame, key: str, salt: str, salts: int = 32) -> DataFrame:
+    """The rows whose key is among ``keys`` (distinct). Keys are repeated for each salt, and a row meets them under the salt of its column ``salt``."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
+    every = keys.select(key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(every, [key, "_salt"], "left_semi").drop("_salt")
 
 
-def is_active(metadata: Column) -> Column:
-    """Active unless the metadata say that it is not; absent, null or unreadable metadata count as active."""
-    return F.coalesce(F.get_json_object(metadata, "$.active") != "false", F.lit(True))
+def using_sources(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of which a source (source_ids) is among ``ids`` (id)."""
+    hit = rows.select(F.col(key).alias("_r"), F.explode("source_ids").alias("id")).join(ids.select("id").distinct(), "id", "left_semi").select("_r").distinct()
+    return rows.join(hit, rows[key] == hit["_r"], "left_semi")
+
+
+def without_sources(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows without those sources: they are taken out of source_ids, and rows that have none left are dropped. Rows that had no source stay. ``key`` is unique."""
+    refs = rows.select(F.col(key).alias("_r"), F.posexplode("source_ids").alias("_p", "id"))
+    touched = refs.join(ids.select("id").distinct(), "id", "left_semi").select("_r").distinct()
+    kept = refs.join(touched, "_r", "left_semi").join(ids.select("id").distinct(), "id", "left_anti").groupBy("_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "id"))), lambda x: x["id"]).alias("_s"))
+    same = rows.join(touched, rows[key] == touched["_r"], "left_anti")
+    return same.unionByName(rows.join(kept, rows[key] == kept["_r"]).withColumn("source_ids", F.col("_s")).drop("_r", "_s"))
 
 
-def mark_stale(stored: DataFrame, roots: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The stored rows with ``active``: false for rows of an incoming root whose content did not come again."""
-    hit = roots.select("root_source_id").distinct().withColumn("_r", F.lit(True))
-    same = fresh.select("content_hash").distinct().withColumn("_h", F.lit(True))
-    out = stored.join(hit, "root_source_id", "left").join(same, "content_hash", "left")
-    return out.withColumn("active", F.col("active") & ~(F.col("_r").isNotNull() & F.col("_h").isNull())).drop("_r", "_h")
+def remove(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored rows but those with the ids."""
+    return stored.join(ids.select("id").distinct(), "id", "left_anti")
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that comes last, ties by all of ``order``; a partial aggregate, no window."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
-
-
-def chunk_numbers(chunks: DataFrame, parent: str, order: str) -> DataFrame:
-    """chunk_no and n_chunks within each parent; a parent has as many chunks as its text."""
-    w = Window.partitionBy(parent)
-    return chunks.withColumn("chunk_no", F.row_number().over(w.orderBy(order))).withColumn("n_chunks", F.count("*").over(w))

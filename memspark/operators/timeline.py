@@ -31,11 +31,13 @@ def union_of(c: str) -> Column:
 
 def merge_timeline(decisions: DataFrame, order: str = "ord") -> DataFrame:
     """One event for each title key: the status of highest rank (ties: the first row), first project and rationale that are not blank,
-    least date, unions of sources and participants, greatest confidence. Rows without a title are dropped; ``order`` must be unique."""
+    least date, first end that is not blank (where there is a column valid_to), unions of sources and participants, greatest confidence. Rows without a title
+    are dropped; ``order`` must be unique, of any type that sorts by arrival."""
     keyed = decisions.withColumn("title_key", match_key("title")).where("title_key is not null")
+    ends = [first_truthy("valid_to", order).alias("valid_to")] if "valid_to" in decisions.columns else []
     return keyed.groupBy("title_key").agg(
         F.min_by("title", order).alias("title"),
-        F.max_by("status", F.struct(status_rank(F.col("status")), -F.col(order))).alias("status"),
+        F.min_by("status", F.struct(-status_rank(F.col("status")), order)).alias("status"),
         first_truthy("project", order).alias("project"),
         first_truthy("rationale", order).alias("rationale"),
         F.min(blank_to_null("decision_date")).alias("valid_from"),
@@ -43,6 +45,7 @@ def merge_timeline(decisions: DataFrame, order: str = "ord") -> DataFrame:
         union_of("participants").alias("participants"),
         F.coalesce(F.max("confidence"), F.lit(0.0)).alias("confidence"),
         F.min(order).alias("ord"),
+        *ends,
     )
 
 
@@ -53,18 +56,40 @@ def supersession_edges(decisions: DataFrame) -> DataFrame:
 
 
 def resolve_supersession(timeline: DataFrame, edges: DataFrame) -> DataFrame:
-    """The timeline with n_supersedes, n_superseded_by, valid_to (least start of the superseding events) and current (accepted and not superseded).
+    """The timeline with n_supersedes, n_superseded_by, valid_to (its own, else the least start of the superseding events) and current (accepted and not superseded).
 
     The superseding event's own status does not matter and supersession is not transitive; both ends of a cycle are not current.
     Edges are aggregated to one row for each event before they are joined.
     """
     starts = timeline.select(F.col("title_key").alias("source"), "valid_from")
-    by = edges.join(starts, "source", "left").groupBy(F.col("target").alias("title_key")).agg(F.count("*").alias("n_superseded_by"), F.min("valid_from").alias("valid_to"))
+    by = edges.join(starts, "source", "left").groupBy(F.col("target").alias("title_key")).agg(F.count("*").alias("n_superseded_by"), F.min("valid_from").alias("_end"))
     of = edges.groupBy(F.col("source").alias("title_key")).agg(F.count("*").alias("n_supersedes"))
     out = timeline.join(by, "title_key", "left").join(of, "title_key", "left").fillna(0, ["n_superseded_by", "n_supersedes"])
+    out = out.withColumn("valid_to", F.coalesce("valid_to", "_end") if "valid_to" in timeline.columns else F.col("_end")).drop("_end")
     return out.withColumn("current", F.coalesce(F.col("status") == "accepted", F.lit(False)) & (F.col("n_superseded_by") == 0))
 
 
+def with_links(resolved: DataFrame, edges: DataFrame) -> DataFrame:
+    """The timeline with ``supersedes`` and ``superseded_by``: sorted distinct title keys, empty where there are none. Edges are distinct, so a list
+    is as long as the event has other ends."""
+    none = F.array().cast("array<string>")
+    of = edges.groupBy(F.col("source").alias("title_key")).agg(F.array_sort(F.collect_set("target")).alias("supersedes"))
+    by = edges.groupBy(F.col("target").alias("title_key")).agg(F.array_sort(F.collect_set("source")).alias("superseded_by"))
+    out = resolved.drop("supersedes", "superseded_by").join(of, "title_key", "left").join(by, "title_key", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("supersedes", "superseded_by")})
+
+
+def in_order(resolved: DataFrame) -> DataFrame:
+    """Events by start, those without one last, ties by arrival."""
+    return resolved.orderBy(F.coalesce(blank_to_null("valid_from"), F.lit("9999-99-99")), "ord")
+
+
+def current_answer(resolved: DataFrame) -> DataFrame:
+    """answer: the titles of the current decisions in order, joined; one row, ``none`` if there are none."""
+    rows = decisions(resolved, current_only=True).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(blank_to_null("valid_from"), F.lit("9999-99-99")).alias("v"), "ord", "title"))).alias("l"))
+    return rows.select(F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: x["title"]), ", ")).otherwise("none").alias("answer"))
+
+
 def decisions(resolved: DataFrame, project: str | None = None, current_only: bool = False, since: str | None = None, until: str | None = None) -> DataFrame:
     """Events of a project (case-folded part of its name), current ones only, between two dates, inclusive; undated events are in no window."""
     out = resolved
