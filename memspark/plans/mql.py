@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions.text import fold, match_key
+from memspark.operators.rationale import why
 from memspark.operators.timeline import memory_diff
 
 
@@ -33,13 +34,16 @@ def parse_mql(text: str) -> Query | None:
     return None
 
 
-def run_mql(text: str, resolved: DataFrame) -> DataFrame:
-    """operation, title_key, answer. A timeline of a project that matches nothing is the whole timeline; unreadable text raises ValueError."""
+def run_mql(text: str, resolved: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """operation, title_key, answer. WHY answers from the rationale memory ``reasons`` where it is given, else from each event's own rationale. A timeline of a project
+    that matches nothing is the whole timeline; unreadable text raises ValueError."""
     q = parse_mql(text)
     if q is None:
         raise ValueError(f"not a query: {text!r}")
     if q.verb == "find":
         rows = resolved.where("current").withColumn("answer", F.col("title"))
+    elif q.verb == "why" and reasons is not None:
+        rows = why(resolved, reasons, q.argument).withColumn("title_key", match_key("title"))
     elif q.verb == "why":
         rows = resolved.where(F.contains("title_key", match_key(F.lit(q.argument)))).withColumn("answer", F.coalesce("rationale", F.lit("no rationale recorded")))
     elif q.verb == "timeline":
