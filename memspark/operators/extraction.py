@@ -92,7 +92,7 @@ def entity_candidates(docs: DataFrame, dictionary: DataFrame | None = None) -> D
     row = lambda rule, pos, kind, name, conf: F.struct(F.lit(rule).alias("rule"), pos.cast("int").alias("pos"), F.lit(kind).alias("type"), name.alias("name"), F.lit(conf).alias("confidence"))
     zero = F.lit(0)
     single = [row(0, zero, "Project", F.element_at(fm, "project"), 0.95), row(1, zero, "Person", F.element_at(fm, "author"), 0.75), row(2, zero, "Document", F.col("title"), 0.9), row(3, zero, "Concept", F.col("title"), 0.9)]
-    listed = lambda rule, names: F.transform(names, lambda n, i: row(rule, i, "Concept", n, 0.9))
+    listed = lambda rule, names: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n, i: row(rule, i, "Concept", n, 0.9))
     many = [listed(4, headings(F.col("content"))), listed(6, tags(F.col("content")))]
     every = docs.select("id", F.explode(F.concat(F.array(*single), *many)).alias("c")).select("id", "c.*")
     at = F.col("line_no") * 1000 + F.col("link_no")
@@ -241,7 +241,7 @@ def model_rows(docs: DataFrame, client: Callable[[str, dict], dict], prompt: str
             out = []
             for i, title, content in zip(b["id"], b["title"], b["content"], strict=True):
                 out += [{"doc_id": i, "pos": k, **r} for k, r in enumerate(one({"source_id": i, "title": title, "content": content}))]
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame([[r.get(c) for c in columns] for r in out], columns=columns, dtype=object)
 
     return docs.select("id", "title", "content").mapInPandas(scan, MODEL_ROWS)
 
