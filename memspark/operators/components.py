@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from memspark.operators.work import Work
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 500_000) -> DataFrame:
     """node, component (the least node of its component) for each node of an edge. Edges with a null end are none; loops and repeats do no harm.
 
-    Each round every node hands the least of its neighbours (and itself) to all its larger neighbours (large star), then to its smaller ones (small
-    star); rounds grow with the logarithm of the nodes. Minima are partial aggregates, so a hub costs no task its neighbours.
+    Up to ``few`` distinct edges, counted as they are written, one task joins them by union-find. Beyond that each round every node hands the least of its neighbours (and
+    itself) to all its larger neighbours (large star), then to its smaller ones (small star); rounds grow with the logarithm of the nodes. Minima are partial
+    aggregates; where a hub's edges meet its minimum, adaptive execution splits the hub's partition. Both ways give the same rows.
     """
     work = Work(edges.sparkSession, "components")
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    pairs = work.cut(pairs.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), "e0")
+    counted = Observation()
+    pairs.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct().observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(work.path("e0"))
+    pairs = work.read(pairs, "e0")
+    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).where("node is not null").distinct()
+    if counted.get["n"] <= few:
+        joined = pairs.coalesce(1).mapInPandas(_union_find, pairs.schema)
+        return nodes.join(joined.withColumnRenamed("u", "node"), "node", "left").selectExpr("node", "coalesce(v, node) component")
     r, before = 0, None
     while True:
         both = pairs.unionByName(pairs.selectExpr("v u", "u v"))
@@ -34,5 +44,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = now
         if r > 1:
             work.drop(f"e{r - 1}")
-    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).where("node is not null").distinct()
     return nodes.join(pairs.withColumnRenamed("u", "node"), "node", "left").selectExpr("node", "coalesce(v, node) component")
+
+
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, least node of its component) of the nodes of all edges of one task."""
+    root: dict = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"], batch["v"], strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    found = [(x, top(x)) for x in list(root)]
+    for i in range(0, len(found), 100_000):
+        yield pd.DataFrame(found[i : i + 100_000], columns=["u", "v"])
