@@ -99,11 +99,25 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether two different strings are one inserted, missing, changed or swapped letter apart."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if len(long) - len(short) > 1:
+        return False
+    i = 0
+    while i < len(short) and short[i] == long[i]:
+        i += 1
+    if len(short) < len(long):
+        return short[i:] == long[i + 1 :]
+    return short[i + 1 :] == long[i + 1 :] or short[i : i + 2] == long[i : i + 2][::-1] and short[i + 2 :] == long[i + 2 :]
+
+
+@lru_cache(1 << 18)
 def typo(a: str, b: str) -> int:
     """0 if equal, 1 if one typing error apart and alike, else 2."""
     if a == b:
         return 0
-    return 1 if min(len(a), len(b)) >= 4 and edits(a, b, 1) == 1 and jaro_winkler(a, b) >= 0.85 else 2
+    return 1 if min(len(a), len(b)) >= 4 and one_edit(a, b) and jaro_winkler(a, b) >= 0.85 else 2
 
 
 class Nicknames:
