@@ -97,7 +97,7 @@ def test_leakage_against_exhaustive(spark):
     d, t = spark.createDataFrame(docs, "k int, t string"), spark.createDataFrame([*items, (99, None), (98, "!")], "i int, t string")
     got = {(r["doc"], r["item"]) for r in leakage.leaked_passages(d, "k", "t", t, "i", "t").collect()}
     assert got == want
-    blocks = {(r["doc"], r["item"]) for r in leakage.leaked_passages(d, "k", "t", t, "i", "t", block=10).collect()}
+    blocks = {(r["doc"], r["item"]) for r in leakage.leaked_passages(d, "k", "t", t, "i", "t", block=3000).collect()}
     assert blocks == want
     clean = leakage.without_passages(d, "k", "t", leakage.leaked_passages(d, "k", "t", t, "i", "t"))
     assert leakage.leaked_passages(clean, "doc", "text", t, "i", "t").count() == 0 and clean.count() == len(want)
@@ -148,6 +148,11 @@ def test_names(spark):
 def test_typing_errors():
     assert names.edits("abcd", "acbd") == 1 and names.edits("abcd", "abd") == 1 and names.edits("abcd", "xyz") == 3
     rnd = random.Random(6)
+    for _ in range(2000):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randrange(6)))
+        i, c = rnd.randrange(len(a) + 1), rnd.choice("abc")
+        b = rnd.choice([a[:i] + a[i + 1 :], a[:i] + c + a[i:], a[:i] + c + a[i + 1 :], a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :], "".join(rnd.choice("abc") for _ in range(rnd.randrange(6)))])
+        assert a == b or names.one_edit(a, b) == (names.edits(a, b, 1) == 1), (a, b)
     for _ in range(300):
         w = "".join(rnd.choice("bdfgklmnaeiou") for _ in range(8))
         i, c = rnd.randrange(8), rnd.choice("bdfgklmnaeiou")
