@@ -14,12 +14,15 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memspark.operators.work import Work
+
 # Notations.
 _AT = r"(?: @ |@|\s?[(\[{]\s?(?:at|AT|@)\s?[)\]}]\s?)"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|DOT|\.)\s?[)\]}]\s?)"
@@ -38,14 +41,18 @@ PHONE = re.compile(
 _STREET = r"(?:Avenue|Ave\.?|Boulevard|Blvd\.?|Drive|Dr\.?|Lane|Ln\.?|Terrace|Row|Close|Court|Ct\.?|Road|Rd\.?|Street|St\.?|Way|Place|Pl\.?|Square|Sq\.?|Crescent|Gardens|Walk|Mews|Hill|Grove|Park|Parade|Rise|Path|Circle|Trail)"
 _TOWN = r"[^\W\d_a-z][^\W\d_]*(?:[-’'][^\W\d_]+)*"
 _GAP = r"(?:,[^\S\n]?\n?|[^\S\n]?\n)[^\S\n]?"
-ADDRESS = re.compile(
-    rf"(?<![\w.,/-])\d{{1,5}}[a-zA-Z]? (?:[^\W\d_a-z][\w’'-]* ){{1,3}}{_STREET}(?:{_GAP}(?:Apt|Unit|Suite|Ste|Flat|No)\.? ?\w+)?{_GAP}{_TOWN}(?:,? [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}}|,? [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?|,? \d{{5}})?(?!\w)"
-    rf"|(?<!\w)(?:[^\W\d_]+-)*[^\W\d_]*(?:[sS]tra(?:ß|ss)e|[sS]tr\.|[wW]eg|[gG]asse|[pP]latz|[aA]llee|[uU]fer|[rR]ing|[dD]amm|[sS]teig) \d{{1,4}} ?[a-z]?{_GAP}(?:D-)?\d{{5}} {_TOWN}"
-    rf"|(?<![\w.,/-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|allée|quai|chemin|place|impasse|boulevard|cours|route|square|sentier|passage|villa)(?: (?:de la|de l[’']|du|des|de|d[’']))? ?{_TOWN}(?: {_TOWN})?{_GAP}(?:F-)?\d{{5}} {_TOWN}"
-    r"|(?<!\w)(?:[가-힣]+도 )?[가-힣]+시 (?:[가-힣]+[구군] )?[가-힣\d]+(?:로|길) \d+(?:-\d+)?(?!\d)",
-)
-KINDS = (("email", EMAIL), ("address", ADDRESS), ("idno", IDNO), ("phone", PHONE))
+# notations, each behind a cheap test of what any text that holds it must hold
+_CODE = re.compile(r"\d{5} [^\W\d_a-z]")
+ADDRESSES = [
+    (re.compile(rf"\b{_STREET}(?:{_GAP})").search, re.compile(rf"(?<![\w.,/-])\d{{1,5}}[a-zA-Z]? (?:[^\W\d_a-z][\w’'-]* ){{1,3}}{_STREET}(?:{_GAP}(?:Apt|Unit|Suite|Ste|Flat|No)\.? ?\w+)?{_GAP}{_TOWN}(?:,? [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}}|,? [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?|,? \d{{5}})?(?!\w)")),
+    (_CODE.search, re.compile(rf"(?<!\w)(?:[^\W\d_]+-)*[^\W\d_]*(?:[sS]tra(?:ß|ss)e|[sS]tr\.|[wW]eg|[gG]asse|[pP]latz|[aA]llee|[uU]fer|[rR]ing|[dD]amm|[sS]teig) \d{{1,4}} ?[a-z]?{_GAP}(?:D-)?\d{{5}} {_TOWN}")),
+    (_CODE.search, re.compile(rf"(?<![\w.,/-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|allée|quai|chemin|place|impasse|boulevard|cours|route|square|sentier|passage|villa)(?: (?:de la|de l[’']|du|des|de|d[’']))? ?{_TOWN}(?: {_TOWN})?{_GAP}(?:F-)?\d{{5}} {_TOWN}")),
+    (lambda t: "시 " in t, re.compile(r"(?<!\w)(?:[가-힣]+도 )?[가-힣]+시 (?:[가-힣]+[구군] )?[가-힣\d]+(?:로|길) \d+(?:-\d+)?(?!\d)")),
+]
+_AT_HINT = re.compile(r"[(\[{]\s?(?:at|AT)\s?[)\]}]")
+NOTATIONS = [("email", lambda t: "@" in t or " at " in t and " dot " in t or _AT_HINT.search(t), EMAIL), *(("address", hint, p) for hint, p in ADDRESSES), ("idno", None, IDNO), ("phone", None, PHONE)]
 _capital = re.compile(r"[^\W\d_a-z][^\W\d_]*(?:[’'-][^\W\d_]+)*")
+CAPITAL = r"(?U)[\p{L}&&[^a-z]]\p{L}*(?:[’'-]\p{L}+)*"  # the same in the JVM
 _next = re.compile(r"(,?)([^\S\n]{1,2}|\n)((?:[^\W\d_]\.[^\S\n]?)*)((?:[^\W\d_a-z][^\W\d_]*(?:[’'-][^\W\d_]+)*)?)")
 _before = re.compile(r"(?:(?<=[^\w.])|^)(?:[^\W\d_a-z]\.[^\S\n]?){1,2}$")
 # Titles, no part of a name.
@@ -55,6 +62,7 @@ TITLES = frozenset("dr mr mrs ms prof frau herr mme mlle madame monsieur sir mis
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("value", T.StringType())]))
 
 
+@lru_cache(1 << 17)
 def name_part(token: str) -> str:
     """A part of a name as the gazetteer holds it: case-folded, without accents."""
     return "".join(c for c in unicodedata.normalize("NFD", token.casefold()) if not unicodedata.combining(c))
@@ -64,17 +72,31 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
-def _month_day(s: str) -> bool:
-    return 1 <= int(s[:2]) <= 12 and 1 <= int(s[2:]) <= 31
+def _real_day(month: int, day: int) -> bool:
+    return 1 <= month <= 12 and 1 <= day <= (29 if month == 2 else 30 if month in (4, 6, 9, 11) else 31)
 
 
 def valid(kind: str, value: str) -> bool:
-    """Whether a number holds what its notation demands: enough digits, and real dates in those that have one."""
+    """Whether a number holds what its notation demands: enough digits, and real days in those that have one."""
     d = _digits(value)
     if kind == "phone":
         return 9 <= len(d) <= 15
     if kind == "idno" and len(d) == 13:
-        return _month_day(d[2:6])
+        return _real_day(int(d[2:4]), int(d[4:6]))
+    return True
+
+
+def checked(value: str) -> bool:
+    """Whether an identity number passes the check of its notation: the remainder by 97 of fifteen digits, the weighted sum of thirteen, blocks that are
+    issued of nine. Numbers that fail are personal all the same (they may be mistyped), so finding does not ask for it; a pseudonym passes if its number does."""
+    d = _digits(value)
+    if len(d) == 15:
+        return int(d[13:]) == 97 - int(d[:13]) % 97
+    if len(d) == 13:
+        weights = (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)
+        return (11 - sum(int(x) * w for x, w in zip(d, weights, strict=False)) % 11) % 10 == int(d[12])
+    if len(d) == 9:
+        return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
     return True
 
 
@@ -88,8 +110,8 @@ def find(text: str, parts: frozenset[str] | set[str], given: frozenset[str] | se
             taken[a:b] = b"\1" * (b - a)
             spans.append((kind, a, b))
 
-    for kind, pattern in KINDS:
-        for m in pattern.finditer(text):
+    for kind, hint, pattern in NOTATIONS:
+        for m in pattern.finditer(text) if hint is None or hint(text) else ():
             if valid(kind, m.group()):
                 take(kind, *m.span())
     if parts:
@@ -146,9 +168,9 @@ def permute(value: str, key: bytes, kind: str, undo: bool = False) -> str:
             chars[i] = c.upper() if value[i] != low[i] else c
         return "".join(chars)
 
-    for _ in range(1000):  # walk along the cycle to the next valid value of the same format
-        if kind != "idno" or valid(kind, text(out)):
-            break
+    # walk along the cycle to the next value that is as valid as this one, which the walk back finds again
+    like = (valid(kind, value), checked(value))
+    while kind == "idno" and (valid(kind, text(out)), checked(text(out))) != like:
         out = _feistel(out, sizes, key, kind, undo)
     return text(out)
 
@@ -202,36 +224,47 @@ def gazetteer(people: DataFrame, name: str) -> DataFrame:
     return distinct.select(F.explode(F.pandas_udf(parts, "array<string>")("n")).alias("part")).distinct()
 
 
-def find_personal(df: DataFrame, text: str, parts: DataFrame, given: DataFrame, key: bytes = b"memspark", most_parts: int = 5_000_000) -> DataFrame:
-    """All columns of ``df`` but the text, and ``found`` (array of kind, from, to, value) and ``masked``.
+def find_personal(df: DataFrame, text: str, parts: DataFrame, given: DataFrame, key: bytes, most_bytes: int = 64_000_000) -> DataFrame:
+    """All columns of ``df`` but the text, and ``found`` (array of kind, from, to, value) and ``masked``. ``key`` is secret: who has it can undo the masking.
 
-    ``parts`` (column part) and ``given`` (column part) are the gazetteer; they are broadcast after a count: a gazetteer of name parts is bounded
-    by the names in use, and more than ``most_parts`` raise an error. Null texts give nulls; texts without personal information come
-    back as they are. Nothing is shuffled, so skew doesn't matter; repeated rows are treated alike.
+    ``parts`` (column part) and ``given`` (column part) are the gazetteer. Up to ``most_bytes``, measured, it is broadcast, and nothing is shuffled. Beyond that the capitalised words
+    of the texts meet it in an equi-join, each word once, and a row carries the parts that it holds. Null texts give nulls; texts without personal information come
+    back as they are; repeated rows are treated alike.
     """
     spark = df.sparkSession
-    known = [r["part"] for r in parts.select("part").distinct().limit(most_parts + 1).collect()]
-    if len(known) > most_parts:
-        raise ValueError(f"the gazetteer has more than {most_parts} parts")
-    first = [r["part"] for r in given.select("part").distinct().limit(most_parts).collect()]
-    shared = spark.sparkContext.broadcast((frozenset(known) | frozenset(first), frozenset(first)))
+    known = parts.select("part").unionByName(given.select("part")).where("part is not null").distinct()
     rest = [c for c in df.columns if c not in (text, "found", "masked")]
-    schema = df.select(*rest, F.col(text).alias("masked")).schema.add("found", FOUND)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, first = shared.value
+    rows = df.select(*rest, F.col(text).alias("masked"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("found", FOUND)])
+
+    def scanned(batch: pd.DataFrame, names: list, first: list) -> pd.DataFrame:
+        out, found = [], []
+        for t, n, g in zip(batch["masked"], names, first, strict=True):
+            spans = find(t, n, g) if t is not None else []
+            out.append(masked(t, spans, key) if spans else t)
+            found.append(None if t is None else [{"kind": k, "from": a, "to": z, "value": t[a:z]} for k, a, z in spans])
+        return batch.assign(masked=out, found=found)[[*rest, "masked", "found"]]
+
+    size = known.agg(F.sum(F.length("part") + 64)).first()[0] or 0
+    if size <= most_bytes:
+        first = frozenset(r["part"] for r in given.select("part").where("part is not null").distinct().collect())
+        shared = spark.sparkContext.broadcast((frozenset(r["part"] for r in known.collect()) | first, first))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, first = shared.value
+            for b in batches:
+                yield scanned(b, [names] * len(b), [first] * len(b))
+
+        return rows.mapInPandas(scan, schema)
+    numbered = Work(spark, "personal").cut(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    words = numbered.select("_row", F.explode(F.array_distinct(F.regexp_extract_all("masked", F.lit(CAPITAL), F.lit(0)))).alias("word"))
+    forms = words.select("word").distinct().select("word", F.pandas_udf(lambda s: s.map(name_part), "string")("word").alias("part"))
+    marked = known.join(given.select("part").distinct().withColumn("is_given", F.lit(True)), "part", "left")
+    hit = words.join(forms.join(marked, "part"), "word").groupBy("_row").agg(F.collect_set("part").alias("_parts"), F.collect_set(F.when(F.col("is_given"), F.col("part"))).alias("_given"))
+
+    def scan_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = lambda c: [frozenset(x) if x is not None else frozenset() for x in c]
         for b in batches:
-            out, found = [], []
-            for t in b["masked"]:
-                if t is None:
-                    out.append(None)
-                    found.append(None)
-                    continue
-                spans = find(t, names, first)
-                out.append(masked(t, spans, key) if spans else t)
-                found.append([{"kind": k, "from": a, "to": z, "value": t[a:z]} for k, a, z in spans])
-            b["masked"] = out
-            b["found"] = found
-            yield b
-
-    return df.select(*rest, F.col(text).alias("masked")).mapInPandas(scan, schema)
+            yield scanned(b, sets(b["_parts"]), sets(b["_given"]))
+
+    return numbered.join(hit, "_row", "left").drop("_row").mapInPandas(scan_rows, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(rows, "content").selectExpr("ord", "id", "section_path", "cast(piece_no as bigint) piece_no", "cast(n_pieces as bigint) n_pieces", "cast(at as bigint) at", "piece")
 
 
+def _key(spark: SparkSession) -> bytes:
+    """The secret of the session, spark.memspark.personal.key; without one a key of this session alone, which nobody keeps."""
+    kept = spark.conf.get("spark.memspark.personal.key", None)
+    if kept is None:
+        spark.conf.set("spark.memspark.personal.key", kept := secrets.token_hex(32))
+    return kept.encode()
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "gold_nodes").where("type = 'Person'").select("name")
     entities = table(spark, d, "silver_entities").where("type = 'Person'")
@@ -44,7 +54,7 @@ def _personal(spark: SparkSession, d: str) -> DataFrame:
     given = forms.select(F.explode(F.array("given_name", "short_form")).alias("n")).where("n is not null").select(F.pandas_udf(lambda n: n.map(personal.name_part), "string")("n").alias("part"))
     rows = table(spark, d, "bronze_documents").selectExpr("'bronze' src", "cast(ord as string) row_key", "content")
     rows = rows.unionByName(table(spark, d, "personal_memories").selectExpr("'memory' src", "id row_key", "content"))
-    return personal.find_personal(rows, "content", personal.gazetteer(people, "name"), given)
+    return personal.find_personal(rows, "content", personal.gazetteer(people, "name"), given, _key(spark))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
