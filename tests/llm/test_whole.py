@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from memspark.llm import mixing, names, visual
+from memspark.llm import leakage, mixing, names, personal, visual
 
 
 def test_names_with_common_tokens(spark):
@@ -63,3 +63,76 @@ def test_visual_with_all_twins_replaced(spark):
     got = {tuple(r) for r in visual.look_alike_pairs(df, "k", "t").collect()}
     want = {(a, b) for a, s in rows for b, t in rows if a < b and s != t and visual.skeleton(s) == visual.skeleton(t)}
     assert got == want == {(1, 2), (4, 5), (6, 7), (6, 8), (7, 8), (9, 10)}
+
+
+def test_leaks_with_edits():
+    """Every third word misspelt, every fourth replaced, others put in or left out: found; less than half, or another order: not."""
+    rnd = random.Random(11)
+    voc = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 10))) for _ in range(3000)]
+    items = [(i, [rnd.choice(voc) for _ in range(rnd.randrange(30, 90))]) for i in range(40)]
+    table = leakage._Items([(i, " ".join(w)) for i, w in items])
+    numbers = table.numbers()
+
+    def slip(x):
+        j = rnd.randrange(len(x))
+        return rnd.choice([x[:j] + "z" + x[j + 1 :], x[:j] + "z" + x[j:], x[:j] + x[j + 1 :] or "z"])
+
+    edits = {
+        "third misspelt": lambda w: [slip(x) if q % 3 == 0 else x for q, x in enumerate(w)], "fourth misspelt": lambda w: [slip(x) if q % 4 == 0 else x for q, x in enumerate(w)], "fifth misspelt": lambda w: [slip(x) if q % 5 == 0 else x for q, x in enumerate(w)],
+        "fifth replaced": lambda w: [rnd.choice(voc) if q % 5 == 0 else x for q, x in enumerate(w)], "fifth put in": lambda w: [y for q, x in enumerate(w) for y in ([x, rnd.choice(voc)] if q % 5 == 0 else [x])],
+        "sixth left out": lambda w: [x for q, x in enumerate(w) if q % 6], "most of it": lambda w: w[: len(w) * 60 // 100],
+    }
+    around = lambda w: " ".join([*rnd.choices(voc, k=50), *w, *rnd.choices(voc, k=50)])
+    for name, f in edits.items():
+        docs = [(i, around(f(w))) for i, w in items]
+        got = {(k, i) for k, i, *_ in leakage._scan(docs, table, numbers, 0.5)}
+        assert len(got & {(i, i) for i, _ in items}) >= 0.9 * len(items) and len(got - {(i, i) for i, _ in items}) <= 0.05 * len(items), name
+    for f in (lambda w: w[: len(w) * 40 // 100], lambda w: rnd.sample(w, len(w)), lambda w: w[::-1]):
+        assert leakage._scan([(i, around(f(w))) for i, w in items], table, numbers, 0.5) == []
+
+
+def test_long_gaps_and_short_items():
+    table = leakage._Items([(1, " ".join(f"word{i}x" for i in range(60))), (2, "one two three"), (3, "")])
+    numbers = table.numbers()
+    put_in = " ".join(f"word{i}x" + (" aa bb" if i % 2 else "") for i in range(60))  # longer than the first window
+    got = {(k, i) for k, i, *_ in leakage._scan([("a", put_in), ("b", "so ONE, two: three!"), ("c", "one two"), ("d", None), ("e", "")], table, numbers, 0.5)}
+    assert ("b", 2) in got and not {k for k, _ in got} & {"d", "e"}
+    assert leakage._scan([("a", "x")], leakage._Items([]), leakage._Items([]).numbers(), 0.5) == []
+
+
+def test_gazetteer_of_any_size(spark):
+    """Broadcast or met in a join, the gazetteer finds the same."""
+    people = spark.createDataFrame([("Anna Example",), ("Émile O’Sample",), ("Bob-Lee Sample",)], "name string")
+    given = spark.createDataFrame([("anna",), ("emile",), (None,)], "part string")
+    texts = ["Anna Example and Émile O’Sample met.", "sample, nobody", "A. Example or Sample, Bob-Lee", None, "", "Anna Example and Émile O’Sample met."]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "k int, t string, found string")
+    parts = personal.gazetteer(people, "name")
+    one, other = personal.find_personal(df, "t", parts, given, b"k"), personal.find_personal(df, "t", parts, given, b"k", most_bytes=0)
+    got = sorted(map(str, one.collect()))
+    assert got == sorted(map(str, other.collect())) and sum("kind='name'" in g for g in got) == 3
+    assert personal.find_personal(df.limit(0), "t", parts, given, b"k", most_bytes=0).collect() == []
+
+
+def test_pseudonyms_are_as_valid_as_their_values():
+    right = ["1 85 05 78 006 084 91", "940315-1234567", "123-45-6789", "AB 12 34 56 C", "1 85 13 78 006 084 36", "912-34-5678"]
+    n = "2" + "85057800608"
+    right.append(f"{n}4{97 - int(n + '4') % 97:02d}")
+    for v in right:
+        p = personal.permute(v, b"key", "idno")
+        assert p != v and personal.checked(p) == personal.checked(v) and personal.valid("idno", p) == personal.valid("idno", v) and personal.permute(p, b"key", "idno", undo=True) == v
+    assert personal.checked(right[-1]) and not personal.checked("912-34-5678") and not personal.valid("idno", "940230-1234567") and personal.valid("idno", "940229-1234567")
+
+
+def test_joiners_that_are_seen():
+    family, persian, flag = "\U0001f469\u200d\U0001f469\u200d\U0001f467", "می\u200cخواهم", "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f"
+    for t in (family, persian, flag, "क्\u200dष"):
+        assert visual.base_form(t) == t and visual.base_form("so " + t + " it is") == "so " + t + " it is"
+    for t in (family, persian, flag):
+        assert visual.base_form(t) != visual.base_form("".join(c for c in t if c not in "\u200c\u200d" and not 0xE0000 <= ord(c) <= 0xE007F))
+    assert visual.base_form("a\u200db\u200c c\U000e0067\u200d") == "ab c" and visual.base_form("\u200dа\u200d") == "а"
+
+
+def test_copies_and_one_variant(spark):
+    rows = [(i, "a plain text") for i in range(30)] + [(40, "a pl\u0430in text"), (41, "a\u00a0plain text"), (42, None), (None, "a\u00a0plain text")]
+    got = {tuple(r) for r in visual.look_alike_pairs(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    assert got == {(i, j) for i in range(30) for j in (40, 41)} | {(40, 41)}
