@@ -19,21 +19,22 @@ from memspark.operators.work import Work
 KNOWN = "node string, parent string, root string, depth long, path array<string>, status string"
 
 
-def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", paths: bool = True) -> DataFrame:
     """node, parent, root, depth, path (root first, the node last) and status of each node that occurs in ``links``.
 
     status is ``tree``, ``cycle`` (on a cycle, also to itself; depth -1) or ``below_cycle`` (depth -2); the last two have a null root
     and path. Links with a null end are none; repeated links count once; of several parents of a node the least counts. Other
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored. An empty table gives an empty result. Without ``paths`` nothing of them is carried along, and path is null.
     """
     spark = links.sparkSession
     work = Work(spark, "hierarchy")
+    via = F.expr("cast(array() as array<string>)") if paths else F.lit(None).cast("array<string>")
     edges = (
         links.select(F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent"))
         .where("node is not null and parent is not null")
         .groupBy("node")
         .agg(F.min("parent").alias("parent"))
-        .select("node", "parent", F.lit(1).cast("long").alias("w"), F.expr("cast(array() as array<string>)").alias("via"))
+        .select("node", "parent", F.lit(1).cast("long").alias("w"), via.alias("via"))
     )
     rounds, table = 0, None
     while True:
@@ -47,7 +48,8 @@ def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "paren
 
     first = work.read(here, "r0")
     roots = first.select(F.col("parent").alias("node")).distinct().join(first.select("node"), "node", "left_anti")
-    known = roots.selectExpr("node", "cast(null as string) parent", "node root", "0L depth", "array(node) path", "'tree' status")
+    start = "array(node)" if paths else "cast(null as array<string>)"
+    known = roots.selectExpr("node", "cast(null as string) parent", "node root", "0L depth", f"{start} path", "'tree' status")
     cores = table.where("kind = 'core'").selectExpr("node", "node parent", "cast(null as string) root", "-1L depth", "cast(null as array<string>) path", "'cycle' status")
     empty = spark.createDataFrame([], KNOWN)
     known.unionByName(cores).write.parquet(work.path("k0"))

@@ -26,7 +26,7 @@ def decision_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return resolve_hierarchy(decision_links(spark, d)).select(F.col("node").alias("title_key"), F.coalesce("root", F.lit("")).alias("root_key"), "depth")
+    return resolve_hierarchy(decision_links(spark, d), paths=False).select(F.col("node").alias("title_key"), F.coalesce("root", F.lit("")).alias("root_key"), "depth")
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
