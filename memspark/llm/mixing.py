@@ -73,13 +73,14 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None
     return out
 
 
-def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, block: int = 256, shards: int = 64, seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, block: int = 256, shards: int | None = None, seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(selection, shares). selection: key, source, n_tokens, repeats (at least 1); shares: source, target_share, max_repeats, n_docs, tokens,
     quota_tokens, mixed_tokens, actual_share.
 
     ``targets`` has source, target_share, max_repeats, one row for each source (of repeated ones the first by share), null shares none;
     sources are compared trimmed and lower-cased. The mix is the largest at which each listed source that has tokens reaches its share with no
-    document used more than max_repeats times; a source has one of its at most ``shards`` shards for each ``shards`` blocks of tokens. A listed source without tokens has actual share 0 and the others keep their proportions.
+    document used more than max_repeats times. There are ``shards`` shards, by default one for each 50 million tokens, from 64 to 4,096; a source is spread over at most all of
+    them, one for each ``shards`` blocks of its tokens. A listed source without tokens has actual share 0 and the others keep their proportions.
     Documents of unlisted or null sources, or with null or empty text, are not selected.
     """
     work = Work(docs.sparkSession, "mix")
@@ -88,7 +89,10 @@ def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: Data
     aims = work.cut(aims, "targets")
     rows = docs.select(F.col(key).alias("key"), name(F.col(source)).alias("source"), F.col(text).alias("text")).where("text <> ''")
     rows = rows.join(broadcast_if_small(aims.select("source")), "source").select("key", "source", token_count(tokenizer)("text").alias("n_tokens"), F.xxhash64("key", F.xxhash64("text"), F.lit(seed)).alias("h"))
-    rows = work.cut(rows.where("n_tokens > 0").withColumn("shard", F.pmod("h", F.lit(shards))), "tokens")
+    counted = work.cut(rows.where("n_tokens > 0"), "tokens")
+    if shards is None:
+        shards = min(4096, max(64, -(-(counted.agg(F.sum("n_tokens")).first()[0] or 0) // 50_000_000)))
+    rows = counted.withColumn("shard", F.pmod("h", F.lit(shards)))
 
     sizes: dict[str, dict[int, tuple[int, int]]] = {}
     for r in rows.groupBy("source", "shard").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect():  # sources listed x shards
