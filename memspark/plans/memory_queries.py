@@ -469,12 +469,18 @@ packed as (select num.grp, num.item, fold.kind, num.content as original, case fo
 _MEM = "mem as (select * from personal_memories qualify row_number() over (partition by id order by created_at desc, type desc, content desc) = 1)"
 _RECALL = lambda w: f"(contains({_F.format('title')}, '{w}') or contains({_F.format('content')}, '{w}') or contains({_F.format('type')}, '{w}') or coalesce(len(list_filter(tags, lambda t: contains({_F.format('t')}, '{w}'))) > 0, false))"
 _SUMMARY = lambda w, more: f"select '{w}' as words, count(*) as n, case when count(*) > 0 then cast(round(least(0.95, 0.62 + 0.06 * least(count(*), 5)), 4) as double) else 0.0 end as confidence, greatest(1, least(4, count(distinct type))) as depth, count(coalesce(nullif(source_id, ''), nullif(source, ''))) as n_sources from mem where {_RECALL(w)}{more}"
-_NOTE_SQL = rf"""safe as (select n.type, n.c, n.name, 'node_' || left(sha256(n.type || '|' || n.c), 16) as id, l as src from n join ns on n.type = ns.type and n.c = ns.c),
-ev as (select title_key, status, project, rationale from merged),
-ee as (select distinct {_F.format('title')} as s, {_F.format('u.x')} as t from silver_decisions, unnest(supersedes) as u(x) where u.x is not null),
-fe as (select arg_min(title, ord) as source, arg_min(u.x, ord) as target, {_F.format('title')} as s, {_F.format('u.x')} as t from silver_decisions, unnest(supersedes) as u(x) where u.x is not null group by {_F.format('title')}, {_F.format('u.x')}),
+_NOTE_TABLES = f"""en as (select ord, type, name, source_ids as src from silver_entities union all select ord, 'Decision', title, source_ids from silver_decisions),
+nn as (select type, {_F.format("trim(name, ' ')")} as c, arg_min(name, ord) as name, list_sort(list_distinct(flatten(list(coalesce(src, []))))) as src from en where type is not null and trim(name, ' ') <> '' group by 1, 2)"""
+_DLINK = lambda x: f"'[[Decisions/' || {_STRIP(f'replace(replace({x}, {chr(39)}/{chr(39)}, {chr(39)}-{chr(39)}), {chr(39)}:{chr(39)}, {chr(39)} -{chr(39)})')} || '|' || {x} || ']]'"
+_PLINK = lambda x: _DLINK(x).replace("Decisions/", "Projects/")
+_NOTE_SQL = rf"""fe as (select arg_min(title, ord) as source, arg_min(u.x, ord) as target, {_F.format('title')} as s, {_F.format('u.x')} as t from silver_decisions, unnest(supersedes) as u(x) where u.x is not null group by {_F.format('title')}, {_F.format('u.x')}),
 ends as (select s as k, target as other, true as o from fe union all select t, source, false from fe where s <> t),
-lst as (select k, list_sort(list(distinct '- SUPERSEDES: ' || other)) as lines, list_sort(list(distinct other) filter (where o)) as older from ends group by k)"""
+lst as (select k, list_sort(list(distinct '- SUPERSEDES: ' || other)) as lines, list_sort(list(distinct other) filter (where o)) as older from ends group by k),
+rowsx as (select nn.*, 'node_' || left(sha256(type || '|' || c), 16) as id, lines, coalesce(older, []) as older, m.status, m.project, m.rationale, case type when 'Person' then 'People' else type || 's' end || '/' || {_STRIP("replace(replace(name, '/', '-'), ':', ' -')")} as base
+  from nn left join lst on k = {_F.format('name')} left join merged m on type = 'Decision' and m.title_key = {_K.format('name')}),
+notes as (select *, array_to_string(list_concat(['---', 'type: ' || type, 'canonical_name: ' || c, '---', '', '# ' || name, '', '## Relations'], list_concat(coalesce(lines, ['- n/a']), list_concat(['', '## Sources'], list_concat(list_transform(src, lambda x: '- ' || x), [''])))), chr(10)) as plain,
+  array_to_string(list_concat(['---', 'type: Decision', 'canonical_name: ' || c, 'status: ' || status, '---', '', '# ' || name, '', 'Status: ' || status, 'Project: ' || coalesce({_PLINK('project')}, 'n/a'), '', '## Summary', '', coalesce(case when {_STRIP('rationale')} <> '' then rationale end, name), '', '## Related Tools', '', '## Sources'],
+    list_concat(list_transform(src, lambda x: '- ' || x), list_concat(['', '## Related Decisions'], list_concat(list_transform(older, lambda x: '- ' || {_DLINK('x')}), list_concat(['', '## Relations'], list_concat(coalesce(lines, ['- n/a']), [''])))))), chr(10)) as decided from rowsx)"""
 
 ORACLE = {
     "timeline_merge": f"with {_MERGED} select title_key, title, status, project, rationale, valid_from, coalesce(source_ids, '') as source_ids, coalesce(participants, '') as participants, round(confidence, 4) as confidence from merged left join src on src.k = title_key left join par on par.k = title_key",
@@ -584,4 +590,6 @@ select doc_id, cast(set_ord as bigint) as set_ord, case set_ord when 1 then 'cac
 nk as (select *, regexp_replace({_F.format('subject')}, '[\s\p{{Z}}\x{{85}}_\-./·:()"''`]+', '', 'g') as a, regexp_replace({_F.format('object')}, '[\s\p{{Z}}\x{{85}}_\-./·:()"''`]+', '', 'g') as b from g), ek as (select regexp_replace(source, '[\s\p{{Z}}\x{{85}}_\-./·:()"''`]+', '', 'g') as a, regexp_replace(target, '[\s\p{{Z}}\x{{85}}_\-./·:()"''`]+', '', 'g') as b from edges),
 f as (select status, exists (select 1 from ek where a <> '' and b <> '' and nk.a <> '' and (contains(ek.a, nk.a) or contains(nk.a, ek.a)) and (contains(ek.b, nk.b) or contains(nk.b, ek.b))) as hit from nk)
 select status as "group", count(*) filter (where hit) as matched, count(*) as total, cast(1 as bigint) as minimum, count(*) filter (where hit) >= 1 as passed, round(count(*) filter (where hit) / count(*), 4) as score from f group by 1""",
+    "vault_notes": f"""with {_MERGED}, {_NOTE_TABLES}, {_NOTE_SQL}
+select case when count(*) over (partition by base) > 1 then base || ' ' || id else base end || '.md' as path, sha256(case when status is not null then decided else plain end) as content_hash from notes""",
 }

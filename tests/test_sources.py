@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memspark import cli
+from memspark.backends import Tables, backend
 from memspark.config import Settings, load_settings
 from memspark.sources.connector import Connector
 from memspark.sources.exports import profile, read_source
@@ -99,6 +100,12 @@ def test_contract_and_command_line(spark, tmp_path):
     run = k.sync().first()
     assert (run["new"], run["changed"], run["removed"], run["fetched"]) == (1, 1, 1, 2)
     assert json.loads(cli.run(spark, [str(tmp_path / "s"), "stats"]))["active"] == 2
+    live = k.corpus.documents().orderBy("source_id").collect()
+    vectors = spark.createDataFrame([(live[0]["id"], [1.0, 0.0]), (live[1]["id"], [0.0, 1.0]), ("gone", [1.0, 1.0])], "id string, embedding array<double>")
+    found = backend(k.corpus, Settings(), vectors, lambda t: [1.0, 0.1])
+    assert [r["id"] for r in found.search("any", 5).orderBy("rank").collect()] == [live[0]["id"], live[1]["id"]] and isinstance(backend(k.corpus, Settings()), Tables)
+    with pytest.raises(ValueError):
+        backend(k.corpus, Settings(backend="vectors"))
     assert "three" in cli.run(spark, [str(tmp_path / "s"), "query", "three"])
 
 
