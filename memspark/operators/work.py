@@ -7,10 +7,12 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: str | None = None
+_owned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local}"
 
 
+def _clean() -> None:
+    """Deletes the tables of this application from the shared folder as the driver ends."""
+    sc = SparkContext._active_spark_context
+    for root in _owned if sc is not None and sc._jvm is not None else ():
+        at = sc._jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Work:
     """Tables of one operator run. ``cut`` writes a table once and reads it back: lineage ends in replicated files, so a
-    lost executor costs the tasks that ran on it and no earlier step."""
+    lost executor costs the tasks that ran on it and no earlier step. They stand under the application's id and go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/memspark/{name}-{uuid.uuid4().hex}"
+        own = f"{shared_dir(spark).rstrip('/')}/memspark/{spark.sparkContext.applicationId}"
+        if own not in _owned:
+            if not _owned:
+                atexit.register(_clean)
+            _owned.add(own)
+        self.root = f"{own}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
