@@ -207,7 +207,7 @@ def compare_projects(a: list[str], b: list[str]) -> int:
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     left, wrong, unsure, lost = list(long), 0, False, []
     for t in sorted(short, key=lambda x: -len(x)):
-        best = min(left, key=lambda x: (typo(t, x), -jaro_winkler(t, x)), default=None)
+        best = t if t in left else min(left, key=lambda x: (typo(t, x), -jaro_winkler(t, x)), default=None)
         if best is not None and typo(t, best) < 2:
             wrong += typo(t, best)
             left.remove(best)
