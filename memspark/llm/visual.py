@@ -209,10 +209,9 @@ def _repairs(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     seen = work.cut(rows.select("*", F.sha2("base", 256).alias("plain"), F.when(F.size("odd") > 0, F.col("base")).alias("odd_base")), "seen")
     odd = seen.where("size(odd) > 0").select("row", F.explode("odd").alias("o")).select("row", "o.*")
     forms = work.cut(odd.groupBy("skel", "form", "pure").agg(F.count("*").alias("n")), "forms")
-    # Latin forms of those classes, from the whole vocabulary; those in one script are in no repair, so they stand for their class
-    skels = forms.select("skel").distinct()
-    words = seen.select(F.explode(F.array_distinct(F.split("base", r"(?U)[^\p{L}\p{M}\p{N}]+"))).alias("skel"))
-    latin = words.join(broadcast_if_small(skels), "skel", "left_semi").groupBy("skel").agg(F.count("*").alias("n")).where(_one_script("skel")).selectExpr("skel", "skel form", "true pure", "n", "true fixed")
+    # Latin forms of those classes that the whole vocabulary has; those in one script are in no repair, so they stand for their class
+    words = seen.select(F.explode(F.split("base", r"[^\p{L}\p{M}\p{N}]+")).alias("skel"))
+    latin = words.join(broadcast_if_small(forms.select("skel").distinct()), "skel", "left_semi").distinct().where(_one_script("skel")).selectExpr("skel", "skel form", "true pure", "1L n", "true fixed")
     classes = forms.withColumn("fixed", F.lit(False)).unionByName(latin).groupBy("skel").agg(F.max_by("form", F.struct("fixed", "pure", "n", "form")).alias("to"))
     changes = forms.join(classes, "skel").where("form <> to").select("form", "to")
     per_row = odd.select("row", "form").join(changes, "form").groupBy("row").agg(F.collect_list(F.struct("form", "to")).alias("repairs"))
