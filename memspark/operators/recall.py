@@ -90,9 +90,9 @@ def hint_sources(docs: DataFrame, hints: DataFrame, order: str = "id") -> DataFr
     hay = docs.select(F.col(order).alias("o"), "id", fold(F.concat_ws("\n", path, "source_id", "content")).alias("_hay"))
     keyed = hints.withColumn("_h", fold("hint"))
     found = contains_join(hay, "_hay", keyed.select("_h").where("_h <> ''").distinct(), "_h").select("_h", "o", "id")
-    # of each hint as many first documents are enough as a group has hints
-    most = hints.groupBy("group").count().agg(F.max("count").alias("most"))
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("_h").orderBy("o"))).join(F.broadcast(most)).where("r <= most")
+    # of each hint as many first documents are enough as a group has hints; a literal bound keeps that many a task before the shuffle
+    most = hints.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("_h").orderBy("o"))).where(F.col("r") <= most)
     lists = ranked.groupBy("_h").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("ids"))
     step = lambda a, x: F.struct(F.concat(a["out"], F.slice(F.filter(F.transform(x["ids"], lambda i: F.struct(x["hint_ord"].alias("hint_ord"), i["id"].alias("id"))), lambda c: ~F.exists(a["out"], lambda t: t["id"] == c["id"])), 1, 1)).alias("out"))
     rows = keyed.join(lists, "_h").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("hint_ord", "ids"))).alias("hs"))

@@ -84,10 +84,9 @@ def in_order(resolved: DataFrame) -> DataFrame:
     return resolved.orderBy(F.coalesce(blank_to_null("valid_from"), F.lit("9999-99-99")), "ord")
 
 
-def current_answer(resolved: DataFrame) -> DataFrame:
-    """answer: the titles of the current decisions in order, joined; one row, ``none`` if there are none."""
-    rows = decisions(resolved, current_only=True).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(blank_to_null("valid_from"), F.lit("9999-99-99")).alias("v"), "ord", "title"))).alias("l"))
-    return rows.select(F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: x["title"]), ", ")).otherwise("none").alias("answer"))
+def current_titles(resolved: DataFrame) -> DataFrame:
+    """The current decisions in order: title_key, title, valid_from, ord."""
+    return in_order(decisions(resolved, current_only=True)).select("title_key", "title", "valid_from", "ord")
 
 
 def decisions(resolved: DataFrame, project: str | None = None, current_only: bool = False, since: str | None = None, until: str | None = None) -> DataFrame:

@@ -43,8 +43,8 @@ def timeline_start(spark, d):
     return timeline.in_order(_resolved(spark, d)).select("title_key", "valid_from", "ord").limit(20)
 
 
-def current_answer(spark, d):
-    return timeline.current_answer(_resolved(spark, d)).select(F.sha2("answer", 256).alias("answer_hash"), F.length("answer").cast("long").alias("n_chars"))
+def current_titles(spark, d):
+    return timeline.current_titles(_resolved(spark, d))
 
 
 def timeline_resolved(spark, d):
@@ -526,7 +526,7 @@ select doc_id, cast(rule_ord as bigint) as rule_ord, case rule_ord when 1 then '
 select query, key, similarity, row_number() over (partition by query order by similarity desc, key) as rn from s qualify rn <= 10""",
     "timeline_links": f"with {_MERGED}, {_LINKED} select * from links",
     "timeline_start": f"with {_MERGED} select title_key, valid_from, (select min(ord) from sd where k = title_key) as ord from resolved order by {_START}, ord limit 20",
-    "current_answer": f"with {_MERGED}, x as (select string_agg(title, ', ' order by {_START}, (select min(ord) from sd where k = title_key)) as a from resolved where current) select sha256(coalesce(a, 'none')) as answer_hash, length(coalesce(a, 'none')) as n_chars from x",
+    "current_titles": f"with {_MERGED} select title_key, title, valid_from, (select min(ord) from sd where k = title_key) as ord from resolved where current",
     "mql_why_rationale": f"""with {_MERGED}, w as (select 'adopt duplicated retry queue' as w), rs as (select min_by(title, o) as title, min_by(rationale, o) as x, min(o) as o from (select title, rationale, cast(ord as varchar) as o from silver_decisions where trim(rationale, ' ') <> '') group by {_F.format('title')}, {_F.format('rationale')}),
 hit as (select rs.* from rs, w where contains({_F.format('title')}, w) or contains(w, {_F.format('title')})), said as (select string_agg(x || ' (rationale)', '; ' order by o, title) as a from hit),
 ev as (select title, rationale, (select min(ord) from sd where k = title_key) as ord from resolved, w where contains({_F.format('title')}, w)),

@@ -322,7 +322,8 @@ class Corpus:
         return timeline.decisions(self._table("timeline"), **filters)
 
     def current_decision(self) -> str:
-        return timeline.current_answer(self._table("timeline")).first()["answer"]
+        """The titles of the current decisions, in order, joined; they stream to the caller a partition at a time."""
+        return ", ".join(r["title"] for r in timeline.current_titles(self._table("timeline")).toLocalIterator()) or "none"
 
     def why(self, decision: str) -> DataFrame:
         return rationale.why(self._table("timeline"), self._table("reasons"), decision)
