@@ -179,8 +179,13 @@ class Corpus:
                 live = stored.join(gone.select("id"), "id", "left_anti")
                 roots = live.where(F.col("source_type") == whole_type) if whole_type else fresh
                 stale = bronze.stale_ids(live, roots.select("root_source_id").unionByName(fresh.select("root_source_id")), fresh).withColumn("superseded_at", F.current_timestamp())
-                gone = gone.unionByName(stale).join(fresh.select("id").distinct(), "id", "left_anti")
+                before, gone = gone, gone.unionByName(stale).join(fresh.select("id").distinct(), "id", "left_anti")
             replace = {"inactive": write("inactive", gone)}
+            if stored is not None and self.store.open(at["bronze"]).isEmpty():
+                now = self.store.open(replace["inactive"]).select("id")
+                if now.join(before, "id", "left_anti").isEmpty() and before.join(now, "id", "left_anti").isEmpty():
+                    self.store.drop([came, at["bronze"], replace["inactive"]])
+                    return {"version": batch - 1, "bronze": 0}
             self.progress("silver")
             at |= self._extract(write, self.store.open(at["bronze"]))
             self.progress("gold")
