@@ -36,12 +36,16 @@ def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "paren
         .agg(F.min("parent").alias("parent"))
         .select("node", "parent", F.lit(1).cast("long").alias("w"), via.alias("via"))
     )
-    rounds, table = 0, None
+    rounds, table, removed = 0, None, []
     while True:
         here = _classified(edges, rounds)
+        if removed:
+            here = here.coalesce(_tasks(kept))
         seen = Observation()
-        here.observe(seen, F.count_if(F.col("kind") != "core").alias("open")).write.parquet(work.path(f"r{rounds}"))
+        here.observe(seen, F.count_if(F.col("kind") != "core").alias("open"), F.count_if(F.col("kind").isin("rake", "splice")).alias("removed"), F.count(F.lit(1)).alias("n")).write.parquet(work.path(f"r{rounds}"))
         table = work.read(here, f"r{rounds}")
+        removed.append(seen.get["removed"])
+        kept = seen.get["n"] - removed[-1]
         if not seen.get["open"]:
             break
         edges, rounds = _contracted(table), rounds + 1
@@ -55,7 +59,7 @@ def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "paren
     known.unionByName(cores).write.parquet(work.path("k0"))
     names = ["k0"]
     for r in range(rounds - 1, -1, -1):
-        _restored(work.read(here, f"r{r}"), work.read(empty, *names)).write.parquet(work.path(f"k{rounds - r}"))
+        _restored(work.read(here, f"r{r}"), work.read(empty, *names)).coalesce(_tasks(removed[r])).write.parquet(work.path(f"k{rounds - r}"))
         names.append(f"k{rounds - r}")
         if r:
             work.drop(f"r{r}")
@@ -63,6 +67,11 @@ def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "paren
     return work.read(empty, *names).drop("parent").join(parents, "node", "left").select("node", F.col("own_parent").alias("parent"), "root", "depth", "path", "status")
 
 
+def _tasks(rows: int) -> int:
+    """Tasks, and so files, for a round's rows: late rounds are small, and each table is read in every round after it."""
+    return max(1, -(-rows // 250_000))
+
+
 def _classified(edges: DataFrame, r: int) -> DataFrame:
     kids = edges.groupBy(F.col("parent").alias("at")).agg(F.count("*").alias("n"), F.max("node").alias("child"))
     h = lambda c: F.xxhash64(c, F.lit(r))

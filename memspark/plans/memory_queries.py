@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memspark.functions import text
 from memspark.functions.text import fold, strip_ws
 from memspark.operators import bronze, chunking, context, contract, graph, personal, planning, quality, rationale, recall, silver, timeline
 from memspark.operators.snapshots import snapshot_diff
@@ -398,6 +399,45 @@ def vector_topk(spark, d):
     return recall.nearest(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"), 10).select("query", "key", "similarity", "rn")
 
 
+def text_names(spark, d):
+    """Names of nodes as slugs, file names, parts of paths and of notes."""
+    n = F.col("name")
+    return table(spark, d, "gold_nodes").where("name is not null").select("id", text.slug(n).alias("slug"), text.file_name(n).alias("file_name"), text.path_part(n).alias("path_part"), text.note_name(n).alias("note_name"), F.array_join(text.ascii_tokens(n), " ").alias("tokens")).distinct()
+
+
+def model_json(spark, d):
+    """JSON objects found in fenced answers and between other words, null where there is none."""
+    e = table(spark, d, "events")
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("so: "), "props", F.lit(" as asked"))).otherwise("none")
+    return e.select("event_id", text.embedded_json(said).alias("value"))
+
+
+def redacted_secrets(spark, d):
+    m = text.redact_secrets(F.create_map(F.lit("Token"), "props", F.lit("kind"), "event_type"))
+    return table(spark, d, "events").select("event_id", F.element_at(m, "Token").alias("token"), F.element_at(m, "kind").alias("kind"))
+
+
+def machine_tiers(spark, d):
+    return table(spark, d, "part").select("p_partkey", planning.machine_tier(F.col("p_size") * 4).alias("tier"))
+
+
+def evicted_entities(spark, d):
+    """Entities without what only chunks of one chat channel say."""
+    gone = table(spark, d, "bronze_documents").where("root_source_id = 'slack:ops-general'").select("id")
+    rows = bronze.without_sources(table(spark, d, "silver_entities").select("ord", "name", "source_ids"), gone, "ord")
+    return rows.select("ord", "name", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+def using_entities(spark, d):
+    gone = table(spark, d, "bronze_documents").where("root_source_id = 'slack:ops-general'").select("id")
+    return bronze.using_sources(table(spark, d, "silver_entities").select("ord", "name", "source_ids"), gone, "ord").select("ord", "name")
+
+
+def bronze_removed(spark, d):
+    docs = table(spark, d, "bronze_documents").select("ord", "id", "root_source_id")
+    return bronze.remove(docs, docs.where("root_source_id = 'slack:ops-general'")).select("ord", "id")
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _K = r"nullif(replace(lower(trim(regexp_replace({}, '\s+', ' ', 'g'))), 'ß', 'ss'), '')"
@@ -592,4 +632,15 @@ f as (select status, exists (select 1 from ek where a <> '' and b <> '' and nk.a
 select status as "group", count(*) filter (where hit) as matched, count(*) as total, cast(1 as bigint) as minimum, count(*) filter (where hit) >= 1 as passed, round(count(*) filter (where hit) / count(*), 4) as score from f group by 1""",
     "vault_notes": f"""with {_MERGED}, {_NOTE_TABLES}, {_NOTE_SQL}
 select case when count(*) over (partition by base) > 1 then base || ' ' || id else base end || '.md' as path, sha256(case when status is not null then decided else plain end) as content_hash from notes""",
+    "text_names": rf"""with n as (select distinct id, name, {_STRIP("name")} as s from gold_nodes where name is not null)
+select distinct id, coalesce(nullif(regexp_replace(regexp_replace(lower(s), '[^a-zA-Z0-9_-]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), ''), 'documents') as slug,
+  coalesce(nullif(left(regexp_replace(regexp_replace(name, '[^0-9A-Za-z가-힣._ -]+', '-', 'g'), '^[ .-]+|[ .-]+$', '', 'g'), 120), ''), 'memory') as file_name, coalesce(nullif(regexp_replace(regexp_replace(s, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'channel') as path_part,
+  {_STRIP("replace(replace(name, '/', '-'), ':', ' -')")} as note_name, array_to_string(list_filter(string_split_regex(lower(name), '[^a-zA-Z0-9]+'), lambda t: t <> ''), ' ') as tokens from n""",
+    "model_json": "select event_id, case when event_id % 3 < 2 then props end as value from events",
+    "redacted_secrets": "select event_id, '[redacted]' as token, event_type as kind from events",
+    "machine_tiers": "select p_partkey, case when p_size * 4 >= 128 then 'T5' when p_size * 4 >= 64 then 'T4' when p_size * 4 >= 48 then 'T3' when p_size * 4 >= 32 then 'T2' when p_size * 4 >= 16 then 'T1' end as tier from part",
+    "evicted_entities": """with g as (select list(distinct id) as ids from bronze_documents where root_source_id = 'slack:ops-general'), e as (select ord, name, source_ids, list_filter(source_ids, lambda x: not list_contains(ids, x)) as kept from silver_entities, g)
+select ord, name, coalesce(array_to_string(kept, ','), '') as source_ids from e where coalesce(len(source_ids), 0) = 0 or len(kept) > 0""",
+    "using_entities": "with g as (select list(distinct id) as ids from bronze_documents where root_source_id = 'slack:ops-general') select ord, name from silver_entities, g where list_has_any(source_ids, ids)",
+    "bronze_removed": "select ord, id from bronze_documents where id not in (select id from bronze_documents where root_source_id = 'slack:ops-general')",
 }

@@ -220,11 +220,15 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str, kind: str, redaction: str = "off") -> DataFrame:
-    """The rows of a folder or file of JSON exports of one kind. Unreadable JSON, scalars and items without text give no row. ``redaction`` off, metadata or content: which
+    """The rows of a folder or file of JSON exports of one kind. A file whose first line is a JSON object by itself and has lines after it is the list of its lines. Unreadable JSON, scalars and items without text give no row. ``redaction`` off, metadata or content: which
     texts lose email addresses and phone numbers; ids and times keep theirs."""
     p = profile(kind)
-    files = _files(spark, path, "*.json").where(F.try_parse_json("value").isNotNull())
-    items = files.select("*", F.posexplode(unwrap(F.col("value"), p.lists)).alias("pos", "item"))
+    files = _files(spark, path, "*.{json,jsonl}").withColumn("lines", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
+    an_object = lambda x: F.startswith(F.trim(x), F.lit("{")) & F.try_parse_json(x).isNotNull()
+    by_line = (F.size("lines") > 1) & an_object(F.get("lines", F.lit(0)))
+    listed = F.when(by_line, F.filter("lines", an_object)).when(F.try_parse_json("value").isNotNull(), unwrap(F.col("value"), p.lists))
+    files = files.select("path", "stem", "folder", F.when(by_line, "[]").otherwise(F.col("value")).alias("value"), listed.alias("items"))
+    items = files.select("*", F.posexplode("items").alias("pos", "item"))
     if p.source_type == "google_sheets":
         matrix = F.startswith(F.trim(F.get_json_object("value", "$.values[0]")), F.lit("[")) & F.get_json_object("value", "$.rows").isNull()
         items = items.withColumn("header", F.when(matrix, F.get_json_object("value", "$.values[0]"))).where("header is null or pos > 0")

@@ -49,6 +49,13 @@ def test_issues(spark, tmp_path):
     assert one["source_id"] == "notion:P" and meta["original_url"] == "http://x" and meta["modified_at"] == "2024" and "last_edited_time: 2024" in one["content"]
 
 
+def test_json_lines(spark, tmp_path):
+    at = _put(tmp_path / "l.jsonl", '{"id": "a", "content": "one", "comments": []}\n\nnot json\n{"id": "b", "content": "two"}\n')
+    assert [r["source_id"] for r, _ in _read(spark, at, "notion")] == ["notion:a", "notion:b"]
+    at = _put(tmp_path / "p.json", json.dumps({"items": [{"id": "c", "content": "three"}]}, indent=1))
+    assert [r["source_id"] for r, _ in _read(spark, at, "notion")] == ["notion:c"]
+
+
 def test_office(spark, tmp_path):
     at = _put(tmp_path / "d.json", {"files": [{"id": "D", "name": "n", "text": "body", "parents": ["x", "y"], "webViewLink": "u", "modifiedTime": "2024-01-01", "owners": [{"emailAddress": "a@x.org"}, "b@x.org; c"]}]})
     ((one, meta),) = _read(spark, at, "drive")
