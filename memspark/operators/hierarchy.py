@@ -5,8 +5,8 @@ round-salted hash is below that of both neighbours, an independent set of about
 longest chain, not with its length. What no round can remove are self-loops, each a contracted cycle. The recorded rounds are then
 undone in reverse, from the roots out, so depth, root and path of a node are found from those of the node it hung on.
 
-No step gathers a group: child counts are partial aggregates, splices meet one child each, and the rest are equi-joins with one row
-per node on one side.
+No step gathers a group: child counts are partial aggregates, splices meet one child each by its own name, and leaves meet one row
+for each node, crowded parents by broadcast.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from memspark.operators.work import Work
 KNOWN = "node string, parent string, root string, depth long, path array<string>, status string"
 
 
-def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", paths: bool = True) -> DataFrame:
+def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", paths: bool = True, crowd: int = 1_000_000) -> DataFrame:
     """node, parent, root, depth, path (root first, the node last) and status of each node that occurs in ``links``.
 
     status is ``tree``, ``cycle`` (on a cycle, also to itself; depth -1) or ``below_cycle`` (depth -2); the last two have a null root
     and path. Links with a null end are none; repeated links count once; of several parents of a node the least counts. Other
-    columns are ignored. An empty table gives an empty result. Without ``paths`` nothing of them is carried along, and path is null.
+    columns are ignored. An empty table gives an empty result. Without ``paths`` nothing of them is carried along, and path is null. Parents of more than ``crowd`` leaves
+    in a round are broadcast as the leaves come back, so no task gets a hub's children.
     """
     spark = links.sparkSession
     work = Work(spark, "hierarchy")
@@ -59,7 +60,7 @@ def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "paren
     known.unionByName(cores).write.parquet(work.path("k0"))
     names = ["k0"]
     for r in range(rounds - 1, -1, -1):
-        _restored(work.read(here, f"r{r}"), work.read(empty, *names)).coalesce(_tasks(removed[r])).write.parquet(work.path(f"k{rounds - r}"))
+        _restored(work.read(here, f"r{r}"), work.read(empty, *names), crowd if removed[r] > crowd else None).coalesce(_tasks(removed[r])).write.parquet(work.path(f"k{rounds - r}"))
         names.append(f"k{rounds - r}")
         if r:
             work.drop(f"r{r}")
@@ -85,15 +86,17 @@ def _classified(edges: DataFrame, r: int) -> DataFrame:
 
 
 def _contracted(table: DataFrame) -> DataFrame:
-    out = table.where("kind = 'splice'").selectExpr("node at", "parent up", "w w_up", "via via_up")
+    """The edges that a round leaves. A spliced node has one child, which meets it by its own name: both sides are unique, so a parent of many meets nobody."""
+    out = table.where("kind = 'splice'").selectExpr("child at_child", "node at", "parent up", "w w_up", "via via_up")
     kept = table.where("kind in ('keep', 'core')").select("node", "parent", "w", "via")
-    return kept.join(out, kept.parent == out["at"], "left").selectExpr(
+    return kept.join(out, kept.node == out["at_child"], "left").selectExpr(
         "node", "coalesce(up, parent) parent", "w + coalesce(w_up, 0L) w", "if(at is null, via, concat(via_up, array(at), via)) via"
     )
 
 
-def _restored(table: DataFrame, known: DataFrame) -> DataFrame:
-    """The nodes that a round removed: first those spliced out, whose neighbours are known, then the leaves that hung on any."""
+def _restored(table: DataFrame, known: DataFrame, crowd: int | None = None) -> DataFrame:
+    """The nodes that a round removed: first those spliced out, whose neighbours are known, then the leaves that hung on any. With ``crowd`` parents of more leaves
+    than that, of which a round has few, are broadcast."""
     up = known.selectExpr("node up", "root up_root", "depth up_depth", "path up_path", "status up_status")
     below = known.where("status = 'cycle'").selectExpr("node below")
     hung = "node", "parent", "up_root root", "if(up_depth >= 0, up_depth + w, -2L) depth", "if(up_depth >= 0, concat(up_path, via, array(node)), null) path"
@@ -102,8 +105,14 @@ def _restored(table: DataFrame, known: DataFrame) -> DataFrame:
     # a spliced node lies on a cycle if its only child does
     spliced = spliced.selectExpr(*hung[:3], "if(below is not null, -1L, if(up_depth >= 0, up_depth + w, -2L)) depth", hung[4], "if(below is not null, 'cycle', if(up_status = 'tree', 'tree', 'below_cycle')) status")
     ups = up.unionByName(spliced.selectExpr("node up", "root up_root", "depth up_depth", "path up_path", "status up_status"))
-    raked = table.where("kind = 'rake'").join(ups, F.col("parent") == F.col("up")).selectExpr(*hung, status)
-    return spliced.unionByName(raked)
+    leaves = table.where("kind = 'rake'")
+    if crowd is None:
+        return spliced.unionByName(leaves.join(ups, F.col("parent") == F.col("up")).selectExpr(*hung, status))
+    hot = leaves.groupBy(F.col("parent").alias("hot")).count().where(F.col("count") > crowd).select("hot")  # at most one for each ``crowd`` leaves
+    hot_ups = ups.join(F.broadcast(hot), F.col("up") == F.col("hot"), "left_semi")
+    few = leaves.join(F.broadcast(hot_ups), F.col("parent") == F.col("up"))
+    rest = leaves.join(F.broadcast(hot), F.col("parent") == F.col("hot"), "left_anti").join(ups, F.col("parent") == F.col("up"))
+    return spliced.unionByName(few.selectExpr(*hung, status)).unionByName(rest.selectExpr(*hung, status))
 
 
 def descendants(nodes: DataFrame) -> DataFrame:

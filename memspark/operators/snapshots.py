@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import strip_ws
-from memspark.operators.work import Work, broadcast_if_small
+from memspark.operators.work import Work
 
 
 def hex_digits(c: Column | str) -> Column:
@@ -31,7 +31,7 @@ def _change(was: Column, now: Column, differs: Column) -> Column:
     return F.when(now & ~was, "added").when(was & ~now, "removed").when(was & now & differs, "changed")
 
 
-def snapshot_series_diff(df: DataFrame, scope: list[str], number: str, item: str, digest: str, loaded: str) -> DataFrame:
+def snapshot_series_diff(df: DataFrame, scope: list[str], number: str, item: str, digest: str, loaded: str, few: int = 200_000) -> DataFrame:
     """scope, the later snapshot's number, item and change for all consecutive snapshots of each scope.
 
     Snapshots are consecutive if no other with rows lies between. Of an item's rows in a snapshot the one loaded last counts (ties: the
@@ -40,7 +40,8 @@ def snapshot_series_diff(df: DataFrame, scope: list[str], number: str, item: str
 
     All rows of an item go to one task in one shuffle, on (scope, item); reducing its rows, carrying hashes forward and grouping the two
     tagged sides by the later snapshot all reuse that partitioning. An item has as many rows as snapshots list it. The sequence of
-    snapshots, one row for each, is written, counted, and broadcast only while small.
+    snapshots, one row for each, is written, counted, and broadcast up to ``few`` rows; beyond that it is repeated for each of 32 salts, so that a snapshot with
+    most of all rows is many tasks' work.
     """
     work = Work(df.sparkSession, "snapshots")
     ks = [f"k{i}" for i in range(len(scope))]
@@ -50,7 +51,13 @@ def snapshot_series_diff(df: DataFrame, scope: list[str], number: str, item: str
     listing = work.cut(listing.select(*ks, "no", F.row_number().over(w).alias("idx"), F.lead("no").over(w).alias("next")), "listing")
 
     own = Window.partitionBy(*ks, "item").orderBy("no")
-    placed = rows.join(broadcast_if_small(listing).alias("l"), [*[rows[k].eqNullSafe(F.col(f"l.{k}")) for k in ks], rows["no"] == F.col("l.no")]).select(*[rows[k] for k in ks], rows["no"], "item", "h", "at", "idx", "next")
+    on = [*[rows[k].eqNullSafe(F.col(f"l.{k}")) for k in ks], rows["no"] == F.col("l.no")]
+    if listing.limit(few + 1).count() <= few:
+        met = rows.join(F.broadcast(listing).alias("l"), on)
+    else:
+        salted = listing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31)))).alias("l")
+        met = rows.join(salted, [*on, F.pmod(F.xxhash64("item"), F.lit(32)) == F.col("l.salt")])
+    placed = met.select(*[rows[k] for k in ks], rows["no"], "item", "h", "at", "idx", "next")
     last = F.max_by(F.struct("h", "idx", "next"), F.struct("at", "h")).alias("r")
     once = placed.repartition(*ks, "item").groupBy(*ks, "item", "no").agg(last).select(*ks, "item", "no", "r.*")
     runs = once.withColumn("new_run", (F.col("idx") - F.coalesce(F.lag("idx").over(own), F.lit(-1)) > 1).cast("int")).withColumn("run", F.sum("new_run").over(own))

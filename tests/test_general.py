@@ -31,7 +31,10 @@ def test_hierarchy_random(spark):
     parent |= {f"c{i}": f"c{(i + 1) % 5}" for i in range(5)} | {"h1": "c0", "h2": "h1", "self": "self", "on": "self"}
     parent |= {f"s{i}": "hub" for i in range(200)}
     rows = [(a, b, "x") for a, b in parent.items()] + [("n5", None, "x"), (None, "n1", "x"), ("n7", parent["n7"], "again")]
-    got = resolve_hierarchy(spark.createDataFrame(rows, "node string, parent string, root string")).collect()
+    df = spark.createDataFrame(rows, "node string, parent string, root string")
+    got = resolve_hierarchy(df).collect()
+    # without paths, and with the parents of many leaves broadcast
+    assert {(r["node"], r["root"], r["depth"], r["status"]) for r in got} == {(r["node"], r["root"], r["depth"], r["status"]) for r in resolve_hierarchy(df, paths=False, crowd=5).collect()}
     assert {r["node"]: (r["root"], r["depth"]) for r in got} == _walk(parent)
     assert len(got) == len({r["node"] for r in got})
     for r in got:
@@ -95,6 +98,7 @@ def test_snapshot_series(spark):
     ]
     df = spark.createDataFrame(rows, "s string, no int, item string, h string, at int")
     got = {tuple(r) for r in snapshot_series_diff(df, ["s"], "no", "item", "h", "at").collect()}
+    assert got == {tuple(r) for r in snapshot_series_diff(df, ["s"], "no", "item", "h", "at", few=0).collect()}
     assert got == {("x", 3, "b", "removed"), ("x", 3, "d", "added"), ("x", 4, "a", "changed"), ("x", 4, "b", "added"), ("x", 4, "n", "changed"), (None, 2, "q", "changed")}
     one = spark.range(1).select(hex_digits(F.lit("SHA256: 0Aff")).alias("h"), hex_digits(F.lit("0x1b")).alias("g"), hex_digits(F.lit("?")).alias("n")).first()
     assert tuple(one) == ("0aff", "1b", None)
