@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm.visual import base_form, skeleton
+from memspark.operators.work import Work
 
 _word = re.compile("[^\\W_](?:[^\\W_]|[̀-ͯ­͏​-‏⁠﻿])*")
 NGRAM = 5
@@ -332,27 +333,30 @@ def leaked_passages(docs: DataFrame, doc_key: str, text: str, items: DataFrame,
     """doc, item, from, to (code points of the text as it is), share of the item's words found: one row for each place of a leaked item.
 
     An item has leaked if at least ``least`` of it, in words, stands in one passage and in order, small edits forgiven. Items are broadcast ``block`` characters at
-    a time (their tables take some 40 bytes a character); the documents are read once for each block. Null or empty texts hold nothing; items
+    a time (their tables take some 40 bytes a character), one block after the other; the documents are read once for each block. Null or empty texts hold nothing; items
     without a word never leak; items of fewer words than an n-gram are searched as a whole. Extra columns are ignored; repeated rows give repeated results.
     """
     spark = docs.sparkSession
     rows = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("text <> ''")
     schema = f"doc {dict(docs.dtypes)[doc_key]}, item {dict(items.dtypes)[item_key]}, `from` int, `to` int, share double"
     n = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // block))
-    parts = [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)]
-    out = None
-    for part in parts:
+    work, names = Work(spark, "leakage"), [f"b{b}" for b in range(n)]
+    for b, name in enumerate(names):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
         shared = spark.sparkContext.broadcast(_Items([tuple(r) for r in part.collect()]))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             table = shared.value
             numbers = table.numbers()
-            for b in batches:
-                yield pd.DataFrame(_scan(list(zip(b["doc"], b["text"], strict=True)), table, numbers, least), columns=["doc", "item", "from", "to", "share"])
-
-        one = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("text")).mapInPandas(scan, schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+            for batch in batches:
+                yield pd.DataFrame(_scan(list(zip(batch["doc"], batch["text"], strict=True)), table, numbers, least), columns=["doc", "item", "from", "to", "share"])
+
+        found = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("text")).mapInPandas(scan, schema)
+        if n == 1:
+            return found
+        work.cut(found, name)  # a block is done with before the next is made, so driver and workers hold one
+        shared.destroy()
+    return work.read(found, *names)
 
 
 def without_passages(docs: DataFrame, doc_key: str, text: str, places: DataFrame) -> DataFrame:
