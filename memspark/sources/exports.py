@@ -167,6 +167,7 @@ class Profile:
     mode: str = "export"
 
 
+# Names of the kinds, what they offer and the names that mean them.
 PROFILES = [
     Profile("markdown", "markdown", ("file", "section", "frontmatter", "headings"), ("markdown-files", "md")),
     Profile("obsidian", "obsidian", ("vault_import", "vault_export", "wikilink", "tag")),

@@ -39,7 +39,13 @@ class Store:
 
     def _json(self, name: str) -> dict | None:
         p, fs = self._path(name)
-        return json.loads("".join(r["value"] for r in self.spark.read.text(p.toString(), wholetext=True).collect())) if fs.exists(p) else None
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _put(self, name: str, value: dict) -> None:
         """Writes a file under another name and renames it over the old one."""
