@@ -259,6 +259,20 @@ def _covered(size: np.ndarray, group: np.ndarray, kept: np.ndarray, near: list[t
     return (over & (np.arange(widest) < size[:, None])).sum(axis=1)
 
 
+def _distinct(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct triples in order; in one sort of packed numbers where they fit."""
+    low = int(b.min())
+    bits = [int(x).bit_length() for x in (a.max(), b.max() - low, c.max())]
+    if sum(bits) < 63:
+        packed = np.sort((a << (bits[1] + bits[2])) | ((b - low) << bits[2]) | c)
+        packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
+        return packed >> (bits[1] + bits[2]), ((packed >> bits[2]) & ((1 << bits[1]) - 1)) + low, packed & ((1 << bits[2]) - 1)
+    order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    fresh = np.concatenate(([True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(c) != 0)))
+    return a[fresh], b[fresh], c[fresh]
+
+
 def _scan(texts: list[tuple], items: _Items, numbers: _Numbers, least: float) -> list[tuple]:
     """(key, item, from, to, share) of a batch of (key, text)."""
     texts = [(k, t) for k, t in texts if t]
@@ -271,12 +285,8 @@ def _scan(texts: list[tuple], items: _Items, numbers: _Numbers, least: float) ->
         return []
     # distinct (document, item, diagonal, place), the diagonals of 16 words each
     d, line = doc[k], (k - first[doc[k]] - place) // 16
-    pair = d * len(items.ids) + item
-    order = np.lexsort((place, line, pair))
-    pair, line, place = pair[order], line[order], place[order]
+    pair, line, place = _distinct(d * len(items.ids) + item, line, place.astype(np.int64))
     new_group = np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(line) != 0)))
-    fresh = new_group | np.concatenate(([True], np.diff(place) != 0))
-    pair, line, place, new_group = pair[fresh], line[fresh], place[fresh], new_group[fresh]
     group = np.append(np.flatnonzero(new_group), len(pair))
     g_pair, g_line, n = pair[group[:-1]], line[group[:-1]], np.diff(group)
     after = np.concatenate(((np.diff(g_pair) == 0) & (np.diff(g_line) == 1), [False]))  # the next group is the next diagonal
