@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.text import fold, squash, strip_ws
 from memspark.operators.matching import contains_join
-from memspark.operators.work import broadcast_if_small
+from memspark.operators.work import Work, broadcast_if_small
 
 # Fixed value: where sentences end, for the snippet.
 SENTENCE_END = r"(?U)(?<=[.!?。다])\s+|\n+"
@@ -33,9 +33,12 @@ def answer_text(text: Column) -> Column:
 
 def snippet(text: Column, query: list[str]) -> Column:
     """The first sentence with the highest score and its neighbours; a term counts 3 if it holds a digit, else 1. Without a match the first sentence."""
-    parts = F.filter(F.transform(F.split(answer_text(text), SENTENCE_END), strip_ws), lambda s: s != "")
-    score = lambda s: sum((F.when(F.contains(fold(s), F.lit(t)), 3 if any(c.isdigit() for c in t) else 1).otherwise(0) for t in query), F.lit(0))
-    scores = F.transform(parts, score)
+    sentences = lambda t: F.filter(F.transform(F.split(t, SENTENCE_END), strip_ws), lambda s: s != "")
+    plain = answer_text(text)
+    parts = sentences(plain)
+    # the text is folded once, not each sentence for each term; folding moves no end of a sentence
+    score = lambda s: sum((F.when(F.contains(s, F.lit(t)), 3 if any(c.isdigit() for c in t) else 1).otherwise(0) for t in query), F.lit(0))
+    scores = F.transform(sentences(fold(plain)), score)
     best = F.array_position(scores, F.array_max(scores)).cast("int")
     around = F.array_join(F.slice(parts, F.greatest(best - 1, F.lit(1)), F.when(best == 1, 2).otherwise(3)), " ")
     return F.when(F.array_max(scores) > 0, around).otherwise(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
@@ -71,8 +74,9 @@ def answer_confidence(n: Column) -> Column:
 
 def keyword_answer(matches: DataFrame, k: int = 10) -> DataFrame:
     """rank, stage, match, confidence: the first k matches by stage and key; the confidence counts all of them."""
-    n = matches.agg(F.count("*").alias("n"))
-    top = matches.select("stage", "key", "match").orderBy("stage", "key", "match").limit(k)
+    found = Work(matches.sparkSession, "answers").cut(matches.select("stage", "key", "match"), "matches")  # found once, counted and ordered
+    n = found.agg(F.count("*").alias("n"))
+    top = found.orderBy("stage", "key", "match").limit(k)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("stage", "key", "match")).cast("long"))  # k rows
     return ranked.join(F.broadcast(n)).select("rank", "stage", "match", answer_confidence(F.col("n")).alias("confidence"))
 
